@@ -7,9 +7,12 @@ for each word.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,23 @@ BLOCK_BYTES = 1 << 19
 BATCH_ROWS = 2000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that would not find it (Spark's file server sends it)."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(root) in known or getattr(sc, "_loomspark_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="loomspark-")) / "loomspark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "loomspark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._loomspark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark only."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import learnable, table
+
+
+def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import perplexity_rules
+
+    return perplexity_rules(table(spark, sf_dir, "documents"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,15 +27,50 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_back(format_chats(rows.unionByName(own))))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learning_sample, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(learning_sample(docs)))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learning_sample, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(learning_sample(docs, table(spark, sf_dir, "labels")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(~learnable(), F.lit(False)).alias("held_out"))
+    return score_documents(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perplexity": op1_perplexity,
     "op2_chat_format": op2_chat_format,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_packing": op7_packing,
+    "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
