@@ -27,6 +27,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_back(format_chats(rows.unionByName(own))))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_pairs
 
@@ -66,6 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perplexity": op1_perplexity,
     "op2_chat_format": op2_chat_format,
+    "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op7_packing": op7_packing,
     "op8_langid": op8_langid,
