@@ -39,6 +39,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, num=80, den=100)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
+    "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
     "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
