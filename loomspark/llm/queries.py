@@ -27,6 +27,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_back(format_chats(rows.unionByName(own))))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removal_digest
+
+    return removal_digest(table(spark, sf_dir, "documents"), length=400)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -78,6 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perplexity": op1_perplexity,
     "op2_chat_format": op2_chat_format,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op6_near_dedup": op6_near_dedup,
