@@ -168,3 +168,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     of = named.join(least, "c").select("nid", "component_id")
     out = rows.drop("sk").join(of, "nid", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
+    """``docs`` without all but one document of each group (that of the least id).
+
+    An id that stands in several rows stays if one of them stays, and equal rows of it
+    become one.
+    """
+    found = materialise(near_duplicates(docs, width, num, den, lower).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id_"))
+    left = docs.join(gone, F.col("doc_id") == F.col("id_"), "left_anti")
+    many = found.filter("rows > 1").select(F.col("doc_id").alias("id_"))
+    if many.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("id_"))
+    return left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates())
