@@ -1,22 +1,30 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
-Each distinct shingle set keeps the ``K`` smallest of its 64-bit shingle hashes.  Sets
-of similarity ``num/den`` = 0.8 share at least ``LEAST`` of these but for chance (less
-than 2e-9 a pair).  Inverted lists of retained values generate the overlaps; by the
-prefix principle a set enters only the lists of its K - LEAST + 1 rarest values, so a
-value that many documents share links nothing by itself.  Sets with fewer shingles than
-K are whole in their sketch and get the exact prefix instead.
-
-Lists are turned into candidate pairs in rounds.  In each, every list links its members
-to one of them (a star, as many pairs as members); the union sketch estimates each
-pair's similarity and drops the hopeless ones, exact Jaccard on whole sets confirms the
-others, and members that are now in one component need no more comparing.  What is still
-apart is compared in the next round: in a list with at most ``SMALL`` sets outside its
-largest component, each of those with every member of another component.  A longer list
-makes a further star of its outsiders, and so on: each round joins or strikes out at
-least the star's centre.
-
-Equal sets are one set throughout; they are joined to it at the end.
+Each distinct shingle set keeps the ``K`` smallest of its 64-bit shingle hashes.  Sets of
+similarity num/den share at least ``least_shared`` of these but for a chance below 1e-7 a
+pair (17 of 40 at 0.8).  Inverted lists of retained values generate the overlaps.  By the
+prefix principle two such sets meet in ``MEET`` lists or more even if a set enters only
+the lists of its K - least + MEET rarest values, so values that many documents share link
+nothing by themselves.  Small sets are whole in their sketch and get the exact prefix.
+
+Candidates come in two rounds:
+
+1. Every list links its members to its first one, as many pairs as members.  This joins
+   large groups of near copies.
+2. Lists whose members are all in one component are done.  In the others each set outside
+   the largest component meets every member of another component, and a pair is kept if
+   it meets often enough.  Lists with more than ``SMALL`` outsiders are not multiplied
+   out: a pair that they alone could bring shares several of them, so the sets that are in
+   several get sketches of unlimited k, that is their whole sets, whose exact prefix is
+   only the rarest fifth and leaves out what a shared passage brings.  Lists that are long
+   even then hold several large groups of near copies that share a passage: a set meets
+   the members of such a group only if its shingles and the union of the group's leave the
+   similarity possible.  What is left are many small groups in one list; there a block of
+   ``SMALL`` sets at a time meets the whole list, until the list is done.
+
+In both the union sketch estimates each pair's similarity and drops the hopeless ones, and
+exact Jaccard on whole sets confirms the others.  Equal sets are one set throughout; their
+documents are joined to it at the end.
 
 Edge cases: null text or no words: an empty set, linked with nothing; repeated rows and
 ids are each returned; an empty table gives no rows.
@@ -24,7 +32,8 @@ ids are each returned; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +45,23 @@ from pyspark.sql.window import Window as W
 from .common import blocks, column_bytes, materialise, shingles, word_hashes
 from .components import components
 
-K, LEAST = 40, 14
+K = 40
+#: Lists in which a pair must meet.
+MEET = 4
 #: Outsiders of a list up to which they are compared with all its members.
 SMALL = 64
-ROUNDS = 12
+#: Sets in a component from which on it is judged by the union of its shingles.
+LARGE = 8
+
+
+def least_shared(share: float, k: int = K, risk: float = 1e-7) -> int:
+    """Most values that two sketches share but for ``risk`` if ``share`` of the union is common."""
+    tail = 0.0
+    for s in range(k + 1):
+        tail += comb(k, s) * share**s * (1 - share) ** (k - s)
+        if tail > risk:
+            return max(s, 1)
+    return k
 
 
 def _sets(batch: pa.RecordBatch, width: int, lower: bool) -> Iterator[np.ndarray]:
@@ -87,25 +109,33 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, lower: bool) -> D
     return sets.join(wanted.select("nid"), "nid", "left_semi").dropDuplicates(["nid"])
 
 
-def prefix_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """v, nid: membership of sets in the inverted lists that can generate a link."""
-    each = reps.select("nid", "n", F.size("sk").alias("k"), F.explode("sk").alias("v"))
+def prefix_lists(reps: DataFrame, num: int, den: int, k: int = K) -> DataFrame:
+    """v, nid, need: membership of sets in the inverted lists that can generate a link.
+
+    ``need`` is the number of lists in which the set meets each of its partners.  Sets so
+    small that no different set can be alike enough are in none.  ``k`` of 0: ``sk`` holds
+    whole sets.
+    """
+    able = reps.filter(F.col("n") * (den - num) >= num)
+    each = able.select("nid", "n", F.size("sk").alias("k"), F.explode("sk").alias("v"))
     shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    found = materialise(each.join(shared, "v"))
-    whole = F.col("n") < K
-    length = F.when(whole, F.col("n") - F.ceil(F.col("n") * num / den) + 1).otherwise(F.lit(K - LEAST + 1)).cast("int")
+    found = each.join(shared, "v")
+    # A partner of a set below K * num / den is whole in its sketch too.
+    exact = F.ceil(F.col("n") * num / den)
+    least = F.when(F.col("n") * den < k * num, exact).otherwise(F.lit(least_shared(num / den, k))) if k else exact
+    need = F.least(F.lit(MEET), least)
     w = W.partitionBy("nid")
     # Values of one set alone are the rarest and fill the prefix first.
     alone = F.col("k") - F.count(F.lit(1)).over(w)
     rank = F.row_number().over(w.orderBy("df", "v"))
-    return found.select("v", "nid", (rank <= length - alone).alias("in_"), (F.row_number().over(w.orderBy("df", "v"))).alias("r_")).filter("in_").select("v", "nid")
+    return found.select("v", "nid", need.cast("int").alias("need"), (rank <= F.col("k") - least + need - alone).alias("in_")).filter("in_").select("v", "nid", "need")
 
 
 def likely(a: Column, b: Column, na: Column, nb: Column, num: int, den: int) -> Column:
     """Whether the union sketch leaves a similarity of num/den possible."""
     union = F.slice(F.array_sort(F.array_union(_unsigned(a), _unsigned(b))), 1, K)
     both = F.size(F.array_intersect(union, F.array_intersect(_unsigned(a), _unsigned(b))))
-    enough = F.when(F.size(union) < K, both * den >= F.size(union) * num).otherwise(both >= LEAST)
+    enough = F.when(F.size(union) < K, both * den >= F.size(union) * num).otherwise(both >= least_shared(num / den))
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & enough
 
 
@@ -127,8 +157,66 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, lowe
     return materialise(full.filter(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists (v, nid, need) that hold several components, with the member's component ``c``,
+    the largest one ``main`` and the number of members outside it, ``out``."""
+    named = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("label", "nid")).drop("label")
+    sizes = named.groupBy("v", "c").agg(F.count(F.lit(1)).alias("m"))
+    per = sizes.groupBy("v").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top")).filter(F.col("all") > F.col("top.m"))
+    return named.join(per.select("v", F.col("top.c").alias("main"), (F.col("all") - F.col("top.m")).alias("out")), "v")
+
+
+def cross_pairs(open_: DataFrame) -> DataFrame:
+    """a, b, need, spare: pairs of different components, once for each list that both are in."""
+    few = open_.filter("c != main").groupBy("v").agg(F.collect_list(F.struct("nid", "c", "need", "spare")).alias("few"))
+    met = open_.join(few, "v").withColumn("o", F.explode("few")).filter((F.col("c") != F.col("o.c")) & ((F.col("c") == F.col("main")) | (F.col("nid") < F.col("o.nid"))))
+    return met.select(
+        F.least("nid", "o.nid").alias("a"), F.greatest("nid", "o.nid").alias("b"), F.least("need", "o.need").alias("need"), F.least("spare", "o.spare").alias("spare")
+    )
+
+
+def second_round(lists: DataFrame, labels: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs, long lists that are left).
+
+    ``whole``: from names (nid) to their whole sets (nid, n, sk).
+    """
+    open_ = materialise(open_lists(lists, labels))
+    big = open_.filter(F.col("out") > SMALL)
+    spare = big.groupBy("nid").agg(F.count(F.lit(1)).alias("spare"))
+    small = open_.filter(F.col("out") <= SMALL).join(spare, "nid", "left").na.fill(0, ["spare"])
+    met = cross_pairs(small).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need"), F.first("spare").alias("spare"))
+    pairs = met.filter(F.col("times") + F.col("spare") >= F.col("need")).select("a", "b")
+    # A pair that no short list brings shares as many long ones as it needs.
+    only = materialise(big.join(spare, "nid").filter(F.col("spare") >= F.col("need")).select("nid").distinct())
+    if only.isEmpty():
+        return materialise(pairs), only.select(F.lit(0).cast("long").alias("v"), "nid", F.lit(0).alias("need"))
+    deeper = materialise(open_lists(prefix_lists(whole(only), num, den, 0), labels))
+    short = deeper.filter(F.col("out") <= SMALL).withColumn("spare", F.lit(0))
+    pairs = pairs.unionByName(cross_pairs(short).select("a", "b"))
+    return materialise(pairs.distinct()), deeper.filter(F.col("out") > SMALL).select("v", "nid", "need")
+
+
+def group_pairs(left: DataFrame, labels: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs with members of large components, lists without those members).
+
+    A set z and a member x of component A share at most the s shingles that z shares with
+    the union of A, so their similarity is at most s / (|z| + least |x| - s).
+    """
+    named = left.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("label", "nid")).drop("label")
+    sizes = named.select("nid", "c").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    named = materialise(named.join(sizes, "c"))
+    large = named.filter(F.col("m") >= LARGE)
+    asked = named.join(large.select("v", F.col("c").alias("of")).distinct(), "v").filter("c != of").select("nid", "of").distinct()
+    sets = whole(named.select("nid").distinct())
+    members = large.select("nid", F.col("c").alias("of")).distinct()
+    inside = members.join(sets, "nid")
+    union = inside.select("of", F.explode("sk").alias("e")).distinct()
+    least = inside.groupBy("of").agg(F.min("n").alias("least"))
+    each = asked.join(sets, "nid").select("nid", "of", "n", F.explode("sk").alias("e"))
+    common = each.join(union, ["of", "e"]).groupBy("nid", "of", "n").agg(F.count(F.lit(1)).alias("s"))
+    may = common.join(least, "of").filter(den * F.col("s") >= num * (F.col("n") + F.col("least") - F.col("s"))).select(F.col("nid").alias("z"), "of")
+    met = may.join(members, "of").select(F.least("z", "nid").alias("a"), F.greatest("z", "nid").alias("b"))
+    return materialise(met.distinct()), named.filter(F.col("m") < LARGE).select("v", "nid", "need")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
@@ -136,33 +224,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     rows = materialise(sketch_documents(docs, width, lower))
     reps = materialise(rows.filter("n > 0").groupBy("nid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     lists = materialise(prefix_lists(reps, num, den))
-    stars = lists.groupBy("v").agg(F.min("nid").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    seen = materialise(_ordered(lists.join(stars, "v").select(F.col("nid").alias("a"), "b")))
-    edges = confirm(seen, reps, docs, width, lower, num, den)
-    for _ in range(ROUNDS):
-        labels = materialise(components(edges))
-        named = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("v", "nid", F.coalesce("label", "nid").alias("c"))
-        sizes = named.groupBy("v", "c").agg(F.count(F.lit(1)).alias("m"))
-        per = sizes.groupBy("v").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top")).filter(F.col("all") > F.col("top.m"))
-        open_ = materialise(named.join(per.select("v", F.col("top.c").alias("main"), (F.col("all") - F.col("top.m")).alias("out")), "v"))
-        outsiders = open_.filter(F.col("c") != F.col("main"))
-        small = outsiders.filter(F.col("out") <= SMALL).select("v", F.col("nid").alias("a"), F.col("c").alias("ca"))
-        few = small.groupBy("v").agg(F.collect_list(F.struct("a", "ca")).alias("few"))
-        cross = open_.join(few, "v").withColumn("o", F.explode("few")).filter(F.col("c") != F.col("o.ca")).select(F.col("nid").alias("a"), F.col("o.a").alias("b"))
-        big = outsiders.filter(F.col("out") > SMALL)
-        # A centre that was tried before in this list is in ``seen``: the next one is found by its hash with the round.
-        centre = big.groupBy("v").agg(F.min(F.struct(F.xxhash64("v", "nid", F.lit(_)), "nid")).alias("m")).select("v", F.col("m.nid").alias("b"))
-        star = open_.join(centre, "v").select(F.col("nid").alias("a"), "b")
-        new = materialise(_ordered(cross.unionByName(star)).join(seen, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            break
-        more = confirm(new, reps, docs, width, lower, num, den)
-        seen = materialise(seen.unionByName(new))
-        edges = materialise(edges.unionByName(more))
-        if more.isEmpty() and big.isEmpty():
-            break
-    else:
+
+    def stars(of: DataFrame, times: int) -> DataFrame:
+        centre = of.groupBy("v").agg(F.min("nid").alias("b"))
+        met = of.join(centre, "v").filter("nid != b").groupBy("nid", "b").agg(F.count(F.lit(1)).alias("n"))
+        return materialise(met.filter(F.col("n") >= times).select(F.col("nid").alias("a"), "b"))
+
+    sure = lambda pairs: confirm(pairs, reps, docs, width, lower, num, den)
+    edges = sure(stars(lists, MEET))
+    labels = materialise(components(edges))
+
+    def whole(names: DataFrame) -> DataFrame:
+        sets = whole_sets(docs, reps.join(names, "nid", "left_semi").select("nid", F.col("id").alias("doc_id")), width, lower)
+        return materialise(sets.select("nid", F.size("els").alias("n"), F.col("els").alias("sk")))
+
+    pairs, left = second_round(lists, labels, whole, num, den)
+    edges = edges.unionByName(sure(pairs))
+    labels = materialise(components(edges))
+    if not left.isEmpty():
+        pairs, left = group_pairs(materialise(left), labels, whole, num, den)
+        edges = materialise(edges.unionByName(sure(pairs)))
         labels = materialise(components(edges))
+    while not left.isEmpty():
+        # A block of each list meets the whole list and leaves it.
+        rest = materialise(open_lists(left, labels))
+        first = F.row_number().over(W.partitionBy("v").orderBy("nid"))
+        block = rest.withColumn("r", first).filter(F.col("r") <= SMALL).select("v", F.col("nid").alias("o"), F.col("c").alias("oc"))
+        met = rest.join(block, "v").filter("c != oc").select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b"))
+        pairs = materialise(met.distinct())
+        more = sure(pairs)
+        if not more.isEmpty():
+            edges = materialise(edges.unionByName(more))
+            labels = materialise(components(edges))
+        left = materialise(rest.join(block.select("v", F.col("o").alias("nid")), ["v", "nid"], "left_anti").select("v", "nid", "need"))
     named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "id", F.coalesce("label", "nid").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     of = named.join(least, "c").select("nid", "component_id")
