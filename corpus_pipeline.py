@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomspark.llm import mixing, near_dedup, packing, quality, suffix_dedup
 from loomspark.llm.common import materialise, table
@@ -24,7 +23,7 @@ LEAST_QUALITY = 0.5
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Naive Bayes support vectors do not reject."""
     model = quality.train(quality.learning_sample(docs, table(spark, sf_dir, "labels")))
-    return quality.score_documents(docs, model, accept=LEAST_QUALITY).filter("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model, LEAST_QUALITY)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

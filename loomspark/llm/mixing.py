@@ -101,7 +101,7 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     the same number of copies (the mean of theirs).
     """
     copies = mixed.groupBy("doc_id").agg(
-        F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size"))).otherwise(F.lit(1)).cast("int").alias("copies_")
+        F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size"))).otherwise(F.lit(1)).cast("int").alias("loom_copies")
     )
-    kept = docs.join(copies.filter("copies_ > 0").withColumnRenamed("doc_id", "id_"), F.col("doc_id").eqNullSafe(F.col("id_")))
-    return kept.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*[docs[c] for c in docs.columns])
+    kept = docs.join(copies.filter("loom_copies > 0").withColumnRenamed("doc_id", "loom_id"), F.col("doc_id").eqNullSafe(F.col("loom_id")))
+    return kept.withColumn("loom_copy", F.explode(F.sequence(F.lit(1), F.col("loom_copies")))).select(*[docs[c] for c in docs.columns])

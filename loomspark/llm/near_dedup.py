@@ -2,7 +2,7 @@
 
 Each distinct shingle set keeps the ``K`` smallest of its 64-bit shingle hashes.  Sets of
 similarity num/den share at least ``least_shared`` of these but for a chance below 1e-7 a
-pair (17 of 40 at 0.8).  Inverted lists of retained values generate the overlaps.  By the
+pair (45 of 80 at 0.8).  Inverted lists of retained values generate the overlaps.  By the
 prefix principle two such sets meet in ``MEET`` lists or more even if a set enters only
 the lists of its K - least + MEET rarest values, so values that many documents share link
 nothing by themselves.  Small sets are whole in their sketch and get the exact prefix.
@@ -45,7 +45,7 @@ from pyspark.sql.window import Window as W
 from .common import blocks, column_bytes, materialise, shingles, word_hashes
 from .components import components
 
-K = 40
+K = 80
 #: Lists in which a pair must meet.
 MEET = 4
 #: Outsiders of a list up to which they are compared with all its members.
@@ -128,7 +128,7 @@ def prefix_lists(reps: DataFrame, num: int, den: int, k: int = K) -> DataFrame:
     # Values of one set alone are the rarest and fill the prefix first.
     alone = F.col("k") - F.count(F.lit(1)).over(w)
     rank = F.row_number().over(w.orderBy("df", "v"))
-    return found.select("v", "nid", need.cast("int").alias("need"), (rank <= F.col("k") - least + need - alone).alias("in_")).filter("in_").select("v", "nid", "need")
+    return found.select("v", "nid", need.cast("int").alias("need"), "n", (rank <= F.col("k") - least + need - alone).alias("in_")).filter("in_").select("v", "nid", "need", "n")
 
 
 def likely(a: Column, b: Column, na: Column, nb: Column, num: int, den: int) -> Column:
@@ -166,10 +166,12 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(per.select("v", F.col("top.c").alias("main"), (F.col("all") - F.col("top.m")).alias("out")), "v")
 
 
-def cross_pairs(open_: DataFrame) -> DataFrame:
+def cross_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, need, spare: pairs of different components, once for each list that both are in."""
-    few = open_.filter("c != main").groupBy("v").agg(F.collect_list(F.struct("nid", "c", "need", "spare")).alias("few"))
-    met = open_.join(few, "v").withColumn("o", F.explode("few")).filter((F.col("c") != F.col("o.c")) & ((F.col("c") == F.col("main")) | (F.col("nid") < F.col("o.nid"))))
+    few = open_.filter("c != main").groupBy("v").agg(F.collect_list(F.struct("nid", "c", "need", "spare", "n")).alias("few"))
+    # Only partners of a possible size are multiplied out.
+    partner = lambda o: (o["c"] != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("nid") < o["nid"])) & (F.least(o["n"], F.col("n")) * den >= F.greatest(o["n"], F.col("n")) * num)
+    met = open_.join(few, "v").withColumn("o", F.explode(F.filter("few", partner)))
     return met.select(
         F.least("nid", "o.nid").alias("a"), F.greatest("nid", "o.nid").alias("b"), F.least("need", "o.need").alias("need"), F.least("spare", "o.spare").alias("spare")
     )
@@ -184,16 +186,16 @@ def second_round(lists: DataFrame, labels: DataFrame, whole: Callable[[DataFrame
     big = open_.filter(F.col("out") > SMALL)
     spare = big.groupBy("nid").agg(F.count(F.lit(1)).alias("spare"))
     small = open_.filter(F.col("out") <= SMALL).join(spare, "nid", "left").na.fill(0, ["spare"])
-    met = cross_pairs(small).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need"), F.first("spare").alias("spare"))
+    met = cross_pairs(small, num, den).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need"), F.first("spare").alias("spare"))
     pairs = met.filter(F.col("times") + F.col("spare") >= F.col("need")).select("a", "b")
     # A pair that no short list brings shares as many long ones as it needs.
     only = materialise(big.join(spare, "nid").filter(F.col("spare") >= F.col("need")).select("nid").distinct())
     if only.isEmpty():
-        return materialise(pairs), only.select(F.lit(0).cast("long").alias("v"), "nid", F.lit(0).alias("need"))
+        return materialise(pairs), only.select(F.lit(0).cast("long").alias("v"), "nid", F.lit(0).alias("need"), F.lit(0).alias("n"))
     deeper = materialise(open_lists(prefix_lists(whole(only), num, den, 0), labels))
     short = deeper.filter(F.col("out") <= SMALL).withColumn("spare", F.lit(0))
-    pairs = pairs.unionByName(cross_pairs(short).select("a", "b"))
-    return materialise(pairs.distinct()), deeper.filter(F.col("out") > SMALL).select("v", "nid", "need")
+    pairs = pairs.unionByName(cross_pairs(short, num, den).select("a", "b"))
+    return materialise(pairs.distinct()), deeper.filter(F.col("out") > SMALL).select("v", "nid", "need", "n")
 
 
 def group_pairs(left: DataFrame, labels: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -216,7 +218,7 @@ def group_pairs(left: DataFrame, labels: DataFrame, whole: Callable[[DataFrame],
     common = each.join(union, ["of", "e"]).groupBy("nid", "of", "n").agg(F.count(F.lit(1)).alias("s"))
     may = common.join(least, "of").filter(den * F.col("s") >= num * (F.col("n") + F.col("least") - F.col("s"))).select(F.col("nid").alias("z"), "of")
     met = may.join(members, "of").select(F.least("z", "nid").alias("a"), F.greatest("z", "nid").alias("b"))
-    return materialise(met.distinct()), named.filter(F.col("m") < LARGE).select("v", "nid", "need")
+    return materialise(met.distinct()), named.filter(F.col("m") < LARGE).select("v", "nid", "need", "n")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
@@ -226,8 +228,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     lists = materialise(prefix_lists(reps, num, den))
 
     def stars(of: DataFrame, times: int) -> DataFrame:
-        centre = of.groupBy("v").agg(F.min("nid").alias("b"))
-        met = of.join(centre, "v").filter("nid != b").groupBy("nid", "b").agg(F.count(F.lit(1)).alias("n"))
+        centre = of.groupBy("v").agg(F.min(F.struct("nid", "n")).alias("o")).select("v", F.col("o.nid").alias("b"), F.col("o.n").alias("m"))
+        met = of.join(centre, "v").filter("nid != b").filter(F.least("n", "m") * den >= F.greatest("n", "m") * num).groupBy("nid", "b").agg(F.count(F.lit(1)).alias("n"))
         return materialise(met.filter(F.col("n") >= times).select(F.col("nid").alias("a"), "b"))
 
     sure = lambda pairs: confirm(pairs, reps, docs, width, lower, num, den)
@@ -249,14 +251,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         # A block of each list meets the whole list and leaves it.
         rest = materialise(open_lists(left, labels))
         first = F.row_number().over(W.partitionBy("v").orderBy("nid"))
-        block = rest.withColumn("r", first).filter(F.col("r") <= SMALL).select("v", F.col("nid").alias("o"), F.col("c").alias("oc"))
-        met = rest.join(block, "v").filter("c != oc").select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b"))
+        block = rest.withColumn("r", first).filter(F.col("r") <= SMALL).select("v", F.col("nid").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"))
+        met = rest.join(block, "v").filter("c != oc").filter(F.least("n", "m") * den >= F.greatest("n", "m") * num).select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b"))
         pairs = materialise(met.distinct())
         more = sure(pairs)
         if not more.isEmpty():
             edges = materialise(edges.unionByName(more))
             labels = materialise(components(edges))
-        left = materialise(rest.join(block.select("v", F.col("o").alias("nid")), ["v", "nid"], "left_anti").select("v", "nid", "need"))
+        left = materialise(rest.join(block.select("v", F.col("o").alias("nid")), ["v", "nid"], "left_anti").select("v", "nid", "need", "n"))
     named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "id", F.coalesce("label", "nid").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     of = named.join(least, "c").select("nid", "component_id")
@@ -271,10 +273,10 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, low
     become one.
     """
     found = materialise(near_duplicates(docs, width, num, den, lower).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id_"))
-    left = docs.join(gone, F.col("doc_id") == F.col("id_"), "left_anti")
-    many = found.filter("rows > 1").select(F.col("doc_id").alias("id_"))
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("loom_id"))
+    left = docs.join(gone, F.col("doc_id") == F.col("loom_id"), "left_anti")
+    many = found.filter("rows > 1").select(F.col("doc_id").alias("loom_id"))
     if many.isEmpty():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("id_"))
+    same = F.col("doc_id").eqNullSafe(F.col("loom_id"))
     return left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates())

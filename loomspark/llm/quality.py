@@ -137,12 +137,13 @@ def learning_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """At most ``rows`` labels (fewer by as many as lack a document) with their texts."""
     marks = labels.filter(learnable() & F.col(label).isNotNull()).select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("q_"))
     marks = marks.withColumn("h_", F.xxhash64(F.lit(4), "id_")).orderBy("h_", "id_", "q_").limit(rows).dropDuplicates(["id_"])
-    chosen = docs.join(F.broadcast(marks), F.col("doc_id") == F.col("id_")).select("text", "q_").limit(2 * rows)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("id_")).select("text", "q_").limit(2 * rows)
     return [(r.text, r.q_) for r in chosen.collect()]
 
 
 def score_documents(docs: DataFrame, model: Model, accept: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` with ``score`` and ``predicted`` (1 from ``accept`` up)."""
+    """All columns of ``docs`` with ``score`` and ``predicted`` (1 from ``accept`` up), which
+    take the place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,3 +156,16 @@ def score_documents(docs: DataFrame, model: Model, accept: float = 0.7) -> DataF
     rows = docs.select(*keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, accept: float) -> DataFrame:
+    """The rows of ``docs`` that score ``accept`` or more, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offs = column_bytes(b.column("text"))
+            if b.num_rows:
+                yield b.filter(pa.array(np.concatenate([shared.value.scores(buf, at) for _, _, buf, at in blocks(raw, offs)]) >= accept))
+
+    return docs.mapInArrow(run, docs.schema)

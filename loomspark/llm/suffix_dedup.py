@@ -54,8 +54,8 @@ _POS = np.uint64((1 << 28) - 1)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """All columns and ``rid_``: a name for (id, text)."""
-    return docs.withColumn("rid_", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    """All columns and ``loom_rid``: a name for (id, text)."""
+    return docs.withColumn("loom_rid", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
 
 
 # --- 1. anchors ----------------------------------------------------------------------------
@@ -99,12 +99,12 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tu
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """rid_, a, lo, hi, ah, hf: every anchor; its windows start lo to hi bytes before it."""
+    """loom_rid, a, lo, hi, ah, hf: every anchor; its windows start lo to hi bytes before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = column_bytes(b.column("text"))
-            rid = b.column("rid_").to_numpy()
+            rid = b.column("loom_rid").to_numpy()
             for lo, _, buf, at in blocks(raw, offs):
                 doc, a, first, last, ah, hf = anchor_runs(buf, at, length, gram)
                 yield pa.RecordBatch.from_arrays(
@@ -116,10 +116,10 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         pa.array(ah.view(np.int64)),
                         pa.array(hf.view(np.int64)),
                     ],
-                    ["rid_", "a", "lo", "hi", "ah", "hf"],
+                    ["loom_rid", "a", "lo", "hi", "ah", "hf"],
                 )
 
-    return docs.select("rid_", "text").mapInArrow(run, "rid_ long, a int, lo smallint, hi smallint, ah long, hf long")
+    return docs.select("loom_rid", "text").mapInArrow(run, "loom_rid long, a int, lo smallint, hi smallint, ah long, hf long")
 
 
 def classes(rows: DataFrame, inner: str, outer: str) -> DataFrame:
@@ -134,23 +134,23 @@ def classes(rows: DataFrame, inner: str, outer: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
-    """rid_, a, lo, hi, ah, rep and the bytes of each undecided run."""
-    per = undecided.groupBy("rid_").agg(F.collect_list(F.struct("a", "lo", "hi", "ah", "rep")).alias("runs"))
-    rows = near(docs, bit_set(undecided)).select("rid_", "text")
+    """loom_rid, a, lo, hi, ah, rep and the bytes of each undecided run."""
+    per = undecided.groupBy("loom_rid").agg(F.collect_list(F.struct("a", "lo", "hi", "ah", "rep")).alias("runs"))
+    rows = near(docs, bit_set(undecided)).select("loom_rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for rid, text, runs in zip(b.column("rid_").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
+            for rid, text, runs in zip(b.column("loom_rid").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 t = text.encode("utf-8", "surrogatepass")
                 for r in runs:
                     out.append((rid, r["a"], r["lo"], r["hi"], r["ah"], r["rep"], t[r["a"] - r["hi"] : r["a"] - r["lo"] + length]))
             for i in range(0, len(out), 5000):
                 cols = list(zip(*out[i : i + 5000]))
                 kinds = [pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["rid_", "a", "lo", "hi", "ah", "rep", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["loom_rid", "a", "lo", "hi", "ah", "rep", "ctx"])
 
-    return rows.join(per, "rid_").mapInArrow(run, "rid_ long, a int, lo smallint, hi smallint, ah long, rep boolean, ctx binary")
+    return rows.join(per, "loom_rid").mapInArrow(run, "loom_rid long, a int, lo smallint, hi smallint, ah long, rep boolean, ctx binary")
 
 
 def node_table(ctx: pa.RecordBatch, length: int) -> dict[str, np.ndarray]:
@@ -174,7 +174,7 @@ def node_table(ctx: pa.RecordBatch, length: int) -> dict[str, np.ndarray]:
 
 
 def nodes(ctx: DataFrame, length: int, payload: bool) -> DataFrame:
-    """core, nf and, if asked for, rid_, rep, at (where the core starts in the document),
+    """core, nf and, if asked for, loom_rid, rep, at (where the core starts in the document),
     nl, nr and pay (the bytes left and right of the core, each padded to STEP - 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +192,14 @@ def nodes(ctx: DataFrame, length: int, payload: bool) -> DataFrame:
                 both = np.concatenate([raw[t["base"][:, None] + span], raw[wide + t["end"][:, None] + span]], axis=1)
                 n = len(both)
                 pay = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * 2 * wide, 2 * wide, dtype=np.int32)[: n + 1].tobytes()), pa.py_buffer(both.tobytes())])
-                rid, rep = (b.column(c).to_numpy(zero_copy_only=False)[t["owner"]] for c in ("rid_", "rep"))
+                rid, rep = (b.column(c).to_numpy(zero_copy_only=False)[t["owner"]] for c in ("loom_rid", "rep"))
                 yield pa.RecordBatch.from_arrays(
                     [*names, pa.array(rid), pa.array(rep), pa.array(t["at"].astype(np.int32)), pa.array(t["left"].astype(np.int16)), pa.array(t["right"].astype(np.int16)), pay],
-                    ["core", "nf", "rid_", "rep", "at", "nl", "nr", "pay"],
+                    ["core", "nf", "loom_rid", "rep", "at", "nl", "nr", "pay"],
                 )
 
-    kinds = "core long, nf long" + ", rid_ long, rep boolean, at int, nl smallint, nr smallint, pay binary" * payload
-    return ctx.select("rid_", "a", "lo", "hi", "ah", "rep", "ctx").mapInArrow(run, kinds)
+    kinds = "core long, nf long" + ", loom_rid long, rep boolean, at int, nl smallint, nr smallint, pay binary" * payload
+    return ctx.select("loom_rid", "a", "lo", "hi", "ah", "rep", "ctx").mapInArrow(run, kinds)
 
 
 # --- 3. suffix arrays ------------------------------------------------------------------------
@@ -236,7 +236,7 @@ def repeated_windows(strings: list[tuple[int, bytes, bytes]]) -> list[list[int]]
 
 
 def sorted_leaves(leaves: DataFrame, length: int) -> DataFrame:
-    """rid_, s, e: runs of repeated windows among leaves of one core, by suffix arrays."""
+    """loom_rid, s, e: runs of repeated windows among leaves of one core, by suffix arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = STEP - 1
@@ -248,10 +248,10 @@ def sorted_leaves(leaves: DataFrame, length: int) -> DataFrame:
             found = repeated_windows([(h[0], h[4], h[5]) for h in held])
             rows = [(h[1], h[2] - x, h[2] - x + length) for h, f in zip(held, found) if not h[3] for x in f]
             r, s, e = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["rid_", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["loom_rid", "s", "e"])
 
         for b in batches:
-            for core, rid, rep, at, nl, nr, pay in zip(*(b.column(c).to_pylist() for c in ("core", "rid_", "rep", "at", "nl", "nr", "pay"))):
+            for core, rid, rep, at, nl, nr, pay in zip(*(b.column(c).to_pylist() for c in ("core", "loom_rid", "rep", "at", "nl", "nr", "pay"))):
                 if core != last:
                     if symbols > SYMBOLS:
                         yield out()
@@ -262,9 +262,9 @@ def sorted_leaves(leaves: DataFrame, length: int) -> DataFrame:
         if held:
             yield out()
 
-    cols = ("core", "rid_", "rep", "at", "nl", "nr", "pay")
+    cols = ("core", "loom_rid", "rep", "at", "nl", "nr", "pay")
     dealt = leaves.select(*cols).repartition("core").sortWithinPartitions("core")
-    return dealt.mapInArrow(run, "rid_ long, s int, e int")
+    return dealt.mapInArrow(run, "loom_rid long, s int, e int")
 
 
 def counted_leaves(leaves: DataFrame, length: int) -> DataFrame:
@@ -284,20 +284,20 @@ def counted_leaves(leaves: DataFrame, length: int) -> DataFrame:
                 h = mix(span_hash(sums, mid - back, mid + STEP - 1 - back) + core[ok] * np.uint64(7) + np.uint64(back))
                 pick = pa.array(ok)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), b.column("rid_").take(pick), b.column("rep").take(pick), pa.array((b.column("at").to_numpy()[ok] - back).astype(np.int32))], ["h", "rid_", "rep", "s"]
+                    [pa.array(h.view(np.int64)), b.column("loom_rid").take(pick), b.column("rep").take(pick), pa.array((b.column("at").to_numpy()[ok] - back).astype(np.int32))], ["h", "loom_rid", "rep", "s"]
                 )
 
-    each = leaves.select("core", "rid_", "rep", "at", "nl", "nr", "pay").mapInArrow(run, "h long, rid_ long, rep boolean, s int")
+    each = leaves.select("core", "loom_rid", "rep", "at", "nl", "nr", "pay").mapInArrow(run, "h long, loom_rid long, rep boolean, s int")
     twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return each.join(twice, "h").filter(~F.col("rep")).select("rid_", "s", (F.col("s") + length).alias("e"))
+    return each.join(twice, "h").filter(~F.col("rep")).select("loom_rid", "s", (F.col("s") + length).alias("e"))
 
 
 # --- whole operator ----------------------------------------------------------------------------
 
 
 def bit_set(df: DataFrame) -> np.ndarray:
-    """Set of rid_ modulo FILTER_BITS, as bits; its size does not depend on the input."""
-    x = F.pmod(F.col("rid_"), F.lit(FILTER_BITS))
+    """Set of loom_rid modulo FILTER_BITS, as bits; its size does not depend on the input."""
+    x = F.pmod(F.col("loom_rid"), F.lit(FILTER_BITS))
     rows = df.select(F.floor(x / 32768).cast("int").alias("k"), (x % 32768).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows.collect():
@@ -314,13 +314,13 @@ def near(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
         x = v.to_numpy(dtype=np.int64) % FILTER_BITS
         return pd.Series((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
-    return docs.filter(has("rid_") if inside else ~has("rid_"))
+    return docs.filter(has("loom_rid") if inside else ~has("loom_rid"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid_, s, e: byte spans that together cover what repeats, as a written table.
+    """loom_rid, s, e: byte spans that together cover what repeats, as a written table.
 
-    ``docs`` has ``rid_`` (see :func:`keyed`).
+    ``docs`` has ``loom_rid`` (see :func:`keyed`).
     """
     gram = max(8, min(GRAM, length // 4))
     if length < gram + STEP:
@@ -328,15 +328,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = materialise(anchors(docs, length, gram))
     known = classes(rows, "hf", "ah").select("hf", "n", "alone")
     decided = materialise(rows.join(known, "hf"))
-    spans = decided.filter("n > 1").select("rid_", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + length).alias("e"))
-    cols = ["rid_", "a", "lo", "hi", "ah"]
+    spans = decided.filter("n > 1").select("loom_rid", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + length).alias("e"))
+    cols = ["loom_rid", "a", "lo", "hi", "ah"]
     single = decided.filter("n = 1").select(*cols, F.lit(False).alias("rep"))
     stand_in = decided.filter("n > 1 and alone").dropDuplicates(["hf"]).select(*cols, F.lit(True).alias("rep"))
     undecided = materialise(single.unionByName(stand_in))
     ctx = materialise(contexts(docs, undecided, length))
     known = materialise(classes(nodes(ctx, length, False), "nf", "core").select("nf", "n", "alone"))
     live = materialise(nodes(ctx, length, True).join(known, "nf"))
-    whole = live.filter("n > 1 and not rep").select("rid_", (F.col("at") - F.col("nl")).alias("s"), (F.col("at") - (STEP - 1 - F.col("nr")) + length).alias("e"))
+    whole = live.filter("n > 1 and not rep").select("loom_rid", (F.col("at") - F.col("nl")).alias("s"), (F.col("at") - (STEP - 1 - F.col("nr")) + length).alias("e"))
     one = live.filter("n = 1").drop("n", "alone")
     stand_in = live.filter("n > 1 and alone").dropDuplicates(["nf"]).withColumn("rep", F.lit(True)).drop("n", "alone")
     leaves = materialise(one.unionByName(stand_in))
@@ -361,8 +361,8 @@ def cut_spans(size: int, starts: list[int], ends: list[int]) -> list[tuple[int,
 def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with ``spans`` collected for each, documents that have none)."""
     bits = bit_set(spans)
-    per = spans.groupBy("rid_").agg(F.collect_list("s").alias("s_"), F.collect_list("e").alias("e_"))
-    return near(docs, bits).join(per, "rid_", "left"), near(docs, bits, False)
+    per = spans.groupBy("loom_rid").agg(F.collect_list("s").alias("loom_s"), F.collect_list("e").alias("loom_e"))
+    return near(docs, bits).join(per, "loom_rid", "left"), near(docs, bits, False)
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -373,7 +373,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, text, s, e in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "s_", "e_"))):
+            for doc, text, s, e in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "loom_s", "loom_e"))):
                 t = text.encode("utf-8", "surrogatepass")
                 cut = cut_spans(len(t), s or [], e or [])
                 left = hashlib.sha256()
@@ -386,7 +386,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    cut = some.select("doc_id", "text", "s_", "e_").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = some.select("doc_id", "text", "loom_s", "loom_e").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     kept = none.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     return cut.unionByName(kept)
@@ -418,7 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(b"".join(parts).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    cut = some.withColumn("text", left("text", "s_", "e_"))
+    cut = some.withColumn("text", left("text", "loom_s", "loom_e"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns).unionByName(none.select(*docs.columns))
