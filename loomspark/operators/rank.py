@@ -25,19 +25,23 @@ def renumber(results: DataFrame, *order: Column) -> DataFrame:
 def deduplicate(results: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Drop what is too similar to a better-ranked result that is itself kept.
 
-    A fold over each question's list (a pool of some hundred at most): each result is
-    compared with the kept ones only.  A result without tokens is kept and drops nothing.
+    Similar pairs are found within each question's list (a pool of some hundred at most);
+    a fold over the ranks then keeps or drops each, looking at kept ones only.  A result
+    without tokens is kept and drops nothing.
     """
-    listed = with_body(results, chunks).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.array_distinct(tokens(F.col("body"))).alias("toks")))).alias("all"))
-    empty = F.slice(F.col("all"), 1, 0)
+    results = results.persist()  # a whole retrieval plan stands behind it, and it is read three times
+    pool = with_body(results, chunks).select("query_id", "rank", F.array_distinct(tokens(F.col("body"))).alias("toks")).withColumn("m", F.size("toks")).persist()
+    worse = pool.select("query_id", F.col("rank").alias("rank2"), F.col("toks").alias("toks2"), F.col("m").alias("m2"))
+    # Sets of too different sizes cannot be alike: their tokens need not be compared.
+    sizes = (F.least("m", "m2") > 0) & (F.least("m", "m2") >= threshold * F.greatest("m", "m2"))
+    near = pool.join(worse, "query_id").filter(F.col("rank") < F.col("rank2")).filter(sizes).filter(jaccard(F.col("toks"), F.col("toks2")) >= threshold)
+    dups = near.groupBy("query_id", F.col("rank2").alias("rank")).agg(F.collect_list(near["rank"]).alias("dups"))
+    listed = pool.select("query_id", "rank").join(dups, ["query_id", "rank"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dups"))).alias("all"))
 
     def step(kept: Column, x: Column) -> Column:
-        # Sets of too different sizes cannot be alike: their tokens need not be compared.
-        sizes = lambda k: F.least(F.size(k["toks"]), F.size(x["toks"])) >= threshold * F.greatest(F.size(k["toks"]), F.size(x["toks"]))
-        near = F.exists(kept, lambda k: F.when(sizes(k), F.coalesce(jaccard(k["toks"], x["toks"]) >= threshold, F.lit(False))).otherwise(F.lit(False)))
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(F.coalesce(F.arrays_overlap(kept, x["dups"]), F.lit(False)), kept).otherwise(F.concat(kept, F.array(x["rank"])))
 
-    kept = listed.select("query_id", F.explode(F.transform(F.aggregate("all", empty, step), lambda x: x["rank"])).alias("rank"))
+    kept = listed.select("query_id", F.explode(F.aggregate("all", F.array().cast("array<bigint>"), step)).alias("rank"))
     return renumber(results.join(kept, ["query_id", "rank"]))
 
 

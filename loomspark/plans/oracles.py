@@ -54,11 +54,12 @@ SELECT query_id, chunk_id, coalesce(s1, 0) + coalesce(s2, 0) AS score, r1, r2, c
 
 
 def deduplicated(name: str, t: str, k: int | None = None) -> str:
-    both = "len(list_intersect(k.toks, x[1].toks))"
-    near = f"CASE WHEN len(k.toks) > 0 AND least(len(k.toks), len(x[1].toks)) >= 0.85 * greatest(len(k.toks), len(x[1].toks)) THEN {both} / (len(k.toks) + len(x[1].toks) - {both}) >= 0.85 ELSE false END"
+    both = "len(list_intersect(a.toks, b.toks))"
     cut = f" WHERE rank <= {k}" if k else ""
-    return f"""{name}_l AS (SELECT query_id, list([{{'rank': rank, 'toks': list_distinct({TOKENS.format(BODY)})}}] ORDER BY rank) AS l FROM {t} LEFT JOIN chunks USING (chunk_id) GROUP BY ALL),
-{name}_k AS (SELECT query_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {near})) > 0 THEN acc ELSE list_concat(acc, x) END)) AS s FROM {name}_l),
+    return f"""{name}_t AS MATERIALIZED (SELECT query_id, rank, toks, len(toks) AS m FROM (SELECT query_id, rank, list_distinct({TOKENS.format(BODY)}) AS toks FROM {t} LEFT JOIN chunks USING (chunk_id))),
+{name}_p AS (SELECT a.query_id, b.rank, list(a.rank) AS dups FROM {name}_t a JOIN {name}_t b ON a.query_id = b.query_id AND a.rank < b.rank AND a.m > 0 AND least(a.m, b.m) >= 0.85 * greatest(a.m, b.m) WHERE {both} / (a.m + b.m - {both}) >= 0.85 GROUP BY ALL),
+{name}_l AS (SELECT query_id, list([{{'rank': rank, 'dups': coalesce(dups, [])}}] ORDER BY rank) AS l FROM {name}_t LEFT JOIN {name}_p USING (query_id, rank) GROUP BY ALL),
+{name}_k AS (SELECT query_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: list_contains(x[1].dups, k.rank))) > 0 THEN acc ELSE list_concat(acc, x) END)) AS s FROM {name}_l),
 {name} AS (SELECT * FROM (SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS rank, score, index, chunk_id FROM {t} r JOIN {name}_k d ON d.query_id = r.query_id AND d.s.rank = r.rank){cut})"""
 
 
@@ -166,7 +167,7 @@ ORACLES: dict[str, str] = {
         deduplicated("z", "z2", 10),
     ),
     "listwise_rerank_apply": query(
-        "SELECT query_id, CASE WHEN query_id % 3 = 0 THEN rank ELSE at END AS rank, round(CASE WHEN query_id % 3 = 0 THEN score WHEN rank IN (1, 3) THEN n - at + 1 ELSE 0 END, 6) AS score, index, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE rank WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, rank) AS at, count(*) OVER (PARTITION BY query_id) AS n FROM r)",
+        "SELECT query_id, CASE WHEN query_id % 3 = 0 THEN rank ELSE place END AS rank, round(CASE WHEN query_id % 3 = 0 THEN score WHEN rank IN (1, 3) THEN n - place + 1 ELSE 0 END, 6) AS score, index, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE rank WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, rank) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM r)",
         *FIVE,
     ),
     "rerank_pairs": query(
