@@ -73,9 +73,9 @@ def test_build_and_resume(spark, tmp_path):
     (src / "a.jsonl").write_text("\n".join(json.dumps(chunk(i)) for i in range(3)) + "\n" + json.dumps(chunk(9, "footnote")))
     embed = hash_embedder(8)
     one = build.run(spark, str(src), path, embed)
-    assert sorted(r.index for r in one.collect()) == [0, 1, 2]
+    assert sorted(r["index"] for r in one.collect()) == [0, 1, 2]
     (src / "b.jsonl").write_text("\n".join(json.dumps(chunk(i, "table", table_title="T")) for i in (4, 5)))
-    two = {r.chunk_id: r.index for r in build.run(spark, str(src), path, embed).collect()}
+    two = {r.chunk_id: r["index"] for r in build.run(spark, str(src), path, embed).collect()}
     assert sorted(two.values()) == [0, 1, 2, 3, 4]
     assert two["2020_narrative_0001_0001"] == 1
     (src / "b.jsonl").write_text("\n".join(json.dumps(chunk(i, "table", text="longer text here now")) for i in (4, 5)))
@@ -94,5 +94,5 @@ def test_stream_adds_each_chunk_once(spark, tmp_path):
         (src / f"{n}.json").write_text("\n".join(json.dumps(chunk(i)) for i in range(2 + n)))
         stream_index(spark, str(src), path, str(tmp_path / "check"), hash_embedder(8)).awaitTermination()
     rows = spark.read.parquet(path).collect()
-    assert sorted(r.index for r in rows) == [0, 1, 2]
+    assert sorted(r["index"] for r in rows) == [0, 1, 2]
     spark.catalog.clearCache()
