@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -59,14 +60,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
+#: Tables written by the open scratch scopes, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A scope at whose end the tables written within it are deleted, but for kept ones."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            fs, target = _target(path)
+            fs.delete(target, True)
+
+
+def _target(path: str):
+    sc = SparkSession.getActiveSession().sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
+
+    ``keep``: the table outlives the innermost scratch scope.  All end with the application.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    scopes = _SCRATCH[:-1] if keep else _SCRATCH
+    if scopes:
+        scopes[-1].append(path)
+    fs, target = _target(path)
+    fs.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

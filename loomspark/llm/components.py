@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,13 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of hooking each node's neighbours to its least neighbour, then each node to
     its least one (large-star, small-star), until nothing changes.  Labels only move
     within a component; rounds grow with the logarithm of its size.  Each round is a
-    written table.
+    written table, and so is the result.
     """
+    with scratch():
+        return materialise(_rounds(edges), keep=True)
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
     pairs = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

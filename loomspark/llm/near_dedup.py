@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import blocks, column_bytes, materialise, shingles, word_hashes
+from .common import blocks, column_bytes, materialise, scratch, shingles, word_hashes
 from .components import components
 
 K = 80
@@ -52,6 +52,8 @@ MEET = 4
 SMALL = 64
 #: Sets in a component from which on it is judged by the union of its shingles.
 LARGE = 8
+#: Shingles of the sets that are compared with others as one block.
+BLOCK = 1 << 16
 
 
 def least_shared(share: float, k: int = K, risk: float = 1e-7) -> int:
@@ -145,7 +147,12 @@ def _unsigned(a: Column) -> Column:
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, lower: bool, num: int, den: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets are alike."""
+    """Those of the distinct pairs (a, b) whose whole sets are alike, as a written table."""
+    with scratch():
+        return materialise(_confirmed(pairs, reps, docs, width, lower, num, den), keep=True)
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, lower: bool, num: int, den: int) -> DataFrame:
     side = lambda c: reps.select(F.col("nid").alias(c), F.col("sk").alias(f"sk_{c}"), F.col("n").alias(f"n_{c}"))
     left = pairs.join(side("a"), "a").join(side("b"), "b").filter(likely(F.col("sk_a"), F.col("sk_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
     left = materialise(left)
@@ -154,7 +161,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, lowe
     sets = materialise(whole_sets(docs, wanted, width, lower))
     full = left.join(sets.select(F.col("nid").alias("a"), F.col("els").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("els").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return materialise(full.filter(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    return full.filter(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,11 +205,13 @@ def second_round(lists: DataFrame, labels: DataFrame, whole: Callable[[DataFrame
     return materialise(pairs.distinct()), deeper.filter(F.col("out") > SMALL).select("v", "nid", "need", "n")
 
 
-def group_pairs(left: DataFrame, labels: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs with members of large components, lists without those members).
+def group_links(left: DataFrame, labels: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links of sets with members of large components, lists without those members).
 
     A set z and a member x of component A share at most the s shingles that z shares with
-    the union of A, so their similarity is at most s / (|z| + least |x| - s).
+    the union of A, so their similarity is at most s / (|z| + least |x| - s).  Where that
+    leaves it possible, blocks of sets are compared whole, and one link for each set and
+    block is all that comes out.
     """
     named = left.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("label", "nid")).drop("label")
     sizes = named.select("nid", "c").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m"))
@@ -216,13 +225,52 @@ def group_pairs(left: DataFrame, labels: DataFrame, whole: Callable[[DataFrame],
     least = inside.groupBy("of").agg(F.min("n").alias("least"))
     each = asked.join(sets, "nid").select("nid", "of", "n", F.explode("sk").alias("e"))
     common = each.join(union, ["of", "e"]).groupBy("nid", "of", "n").agg(F.count(F.lit(1)).alias("s"))
-    may = common.join(least, "of").filter(den * F.col("s") >= num * (F.col("n") + F.col("least") - F.col("s"))).select(F.col("nid").alias("z"), "of")
-    met = may.join(members, "of").select(F.least("z", "nid").alias("a"), F.greatest("z", "nid").alias("b"))
-    return materialise(met.distinct()), named.filter(F.col("m") < LARGE).select("v", "nid", "need", "n")
+    may = common.join(least, "of").filter(den * F.col("s") >= num * (F.col("n") + F.col("least") - F.col("s"))).select("nid", "of")
+    one, other = _blocks(may.join(sets, "nid"), "z"), _blocks(inside, "x")
+    links = one.join(other, "of").mapInArrow(_first_links(num, den), "a long, b long")
+    return materialise(links.distinct()), named.filter(F.col("m") < LARGE).select("v", "nid", "need", "n")
+
+
+def _blocks(sets: DataFrame, name: str) -> DataFrame:
+    """of and an array of the sets (nid, sk) of it, in blocks of about ``BLOCK`` shingles."""
+    size = sets.groupBy("of").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("nid"), F.col("parts"))
+    return sets.join(size, "of").groupBy("of", part.alias("part")).agg(F.collect_list(F.struct("nid", "sk")).alias(name)).select("of", name)
+
+
+def _first_links(num: int, den: int):
+    """For each set of block z the first of block x that is alike: one link joins the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                z, x = (b.column(c).slice(i, 1).flatten() for c in ("z", "x"))
+                xs, zs = x.field("sk"), z.field("sk")
+                flat, bounds = xs.flatten().to_numpy(), np.cumsum([0, *xs.value_lengths().to_pylist()])
+                n = np.diff(bounds)
+                names = x.field("nid").to_numpy()
+                out = []
+                for nid, els in zip(z.field("nid").to_pylist(), zs):
+                    mine = np.sort(els.values.to_numpy())
+                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    both = np.add.reduceat(hit.astype(np.int64), bounds[:-1])
+                    good = np.flatnonzero(den * both >= num * (n + len(mine) - both))
+                    if len(good):
+                        out.append((nid, int(names[good[0]])))
+                if out:
+                    a, c = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``, as a written table."""
+    with scratch():
+        return materialise(_groups(docs, width, num, den, lower), keep=True)
+
+
+def _groups(docs: DataFrame, width: int, num: int, den: int, lower: bool) -> DataFrame:
     rows = materialise(sketch_documents(docs, width, lower))
     reps = materialise(rows.filter("n > 0").groupBy("nid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     lists = materialise(prefix_lists(reps, num, den))
@@ -234,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     sure = lambda pairs: confirm(pairs, reps, docs, width, lower, num, den)
     edges = sure(stars(lists, MEET))
-    labels = materialise(components(edges))
+    labels = components(edges)
 
     def whole(names: DataFrame) -> DataFrame:
         sets = whole_sets(docs, reps.join(names, "nid", "left_semi").select("nid", F.col("id").alias("doc_id")), width, lower)
@@ -242,11 +290,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     pairs, left = second_round(lists, labels, whole, num, den)
     edges = edges.unionByName(sure(pairs))
-    labels = materialise(components(edges))
+    labels = components(edges)
     if not left.isEmpty():
-        pairs, left = group_pairs(materialise(left), labels, whole, num, den)
-        edges = materialise(edges.unionByName(sure(pairs)))
-        labels = materialise(components(edges))
+        links, left = group_links(materialise(left), labels, whole, num, den)
+        edges = materialise(edges.unionByName(links))
+        labels = components(edges)
     while not left.isEmpty():
         # A block of each list meets the whole list and leaves it.
         rest = materialise(open_lists(left, labels))
@@ -257,7 +305,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         more = sure(pairs)
         if not more.isEmpty():
             edges = materialise(edges.unionByName(more))
-            labels = materialise(components(edges))
+            labels = components(edges)
         left = materialise(rest.join(block.select("v", F.col("o").alias("nid")), ["v", "nid"], "left_anti").select("v", "nid", "need", "n"))
     named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "id", F.coalesce("label", "nid").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))

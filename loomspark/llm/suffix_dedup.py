@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column_bytes, fold, list_bytes, materialise, mix, prefix_sums, span_hash
+from .common import blocks, column_bytes, fold, list_bytes, materialise, mix, prefix_sums, scratch, span_hash
 from .suffix_array import suffix_array
 
 LENGTH, GRAM, STEP = 400, 64, 18
@@ -325,6 +325,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     gram = max(8, min(GRAM, length // 4))
     if length < gram + STEP:
         raise ValueError(f"length must be at least {gram + STEP}")
+    with scratch():
+        return materialise(_spans(docs, length, gram), keep=True)
+
+
+def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     rows = materialise(anchors(docs, length, gram))
     known = classes(rows, "hf", "ah").select("hf", "n", "alone")
     decided = materialise(rows.join(known, "hf"))
@@ -345,7 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = spans.unionByName(whole).unionByName(few)
     if not large.isEmpty():
         found = found.unionByName(counted_leaves(leaves.join(large, "core", "left_semi"), length))
-    return materialise(found)
+    return found
 
 
 def cut_spans(size: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
