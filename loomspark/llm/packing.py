@@ -29,6 +29,8 @@ DIMS, BITS, TIE_BITS = 4, 8, 20
 SEQ_LEN = 1024
 #: Every this-many-th id (by hash) is looked at to choose the ranges; balance alone depends on it.
 SAMPLE = 8
+#: Bytes of text for which a document counts once more when the ranges are chosen.
+WEIGHT = 2048
 
 
 def project(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -163,7 +165,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(curve_positions(b))], ["pos"])
+            size = np.diff(column_bytes(b.column("text"))[1])  # ranges are to hold like amounts of text
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(curve_positions(b), 1 + size // WEIGHT))], ["pos"])
 
     looked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     bounds = range_bounds(looked.mapInArrow(place, "pos long"), "pos", parts)
