@@ -16,6 +16,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,35 @@ def learnable(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 != 2
 
 
+# --- sets of numbers, of bounded size -----------------------------------------------------
+
+#: Bits of a set that is sent to the executors (2 MB at any input size).
+FILTER_BITS = 1 << 24
+
+
+def bit_set(df: DataFrame, col: str) -> np.ndarray:
+    """Set of a column modulo FILTER_BITS, as bits; its size does not depend on the input."""
+    x = F.pmod(F.col(col), F.lit(FILTER_BITS))
+    rows = df.filter(F.col(col).isNotNull()).select(F.floor(x / 32768).cast("int").alias("k"), (x % 32768).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.collect():
+        out[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def in_set(df: DataFrame, col: str, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose number may be (or surely is not) in the set: fewer rows to shuffle for a join."""
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def has(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(dtype=np.int64) % FILTER_BITS
+        return pd.Series((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+
+    known = F.coalesce(F.col(col), F.lit(0))
+    return df.filter(has(known) if inside else ~has(known))
+
+
 # --- bytes of Arrow string columns -------------------------------------------------
 
 WORD_BREAK = np.zeros(256, bool)

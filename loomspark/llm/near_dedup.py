@@ -27,7 +27,8 @@ exact Jaccard on whole sets confirms the others.  Equal sets are one set through
 documents are joined to it at the end.
 
 Edge cases: null text or no words: an empty set, linked with nothing; repeated rows and
-ids are each returned; an empty table gives no rows.
+ids are each returned; a set that only rows without id have is linked with nothing but its
+equals; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import blocks, column_bytes, materialise, scratch, shingles, word_hashes
+from .common import bit_set, blocks, column_bytes, in_set, materialise, scratch, shingles, word_hashes
 from .components import components
 
 K = 80
@@ -105,7 +106,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, lower: bool) -> D
             sets = list(_sets(b, width, lower))
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], ["nid", "els"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = in_set(rows, "doc_id", bit_set(wanted, "doc_id")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = rows.select("text").mapInArrow(run, "nid long, els array<long>")
     # An id that stands in several rows may bring sets that nobody wants, or one set twice.
     return sets.join(wanted.select("nid"), "nid", "left_semi").dropDuplicates(["nid"])

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column_bytes, fold, list_bytes, materialise, mix, prefix_sums, scratch, span_hash
+from .common import bit_set, blocks, column_bytes, fold, in_set, list_bytes, materialise, mix, prefix_sums, scratch, span_hash
 from .suffix_array import suffix_array
 
 LENGTH, GRAM, STEP = 400, 64, 18
@@ -47,8 +47,6 @@ LENGTH, GRAM, STEP = 400, 64, 18
 GROUP = 4096
 #: Symbols that one suffix array is built over.
 SYMBOLS = 1 << 16
-#: Bits of the set of documents that is sent to the executors (2 MB at any input size).
-FILTER_BITS = 1 << 24
 
 _POS = np.uint64((1 << 28) - 1)
 
@@ -136,7 +134,7 @@ def classes(rows: DataFrame, inner: str, outer: str) -> DataFrame:
 def contexts(docs: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
     """loom_rid, a, lo, hi, ah, rep and the bytes of each undecided run."""
     per = undecided.groupBy("loom_rid").agg(F.collect_list(F.struct("a", "lo", "hi", "ah", "rep")).alias("runs"))
-    rows = near(docs, bit_set(undecided)).select("loom_rid", "text")
+    rows = in_set(docs, "loom_rid", bit_set(undecided, "loom_rid")).select("loom_rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,28 +293,6 @@ def counted_leaves(leaves: DataFrame, length: int) -> DataFrame:
 # --- whole operator ----------------------------------------------------------------------------
 
 
-def bit_set(df: DataFrame) -> np.ndarray:
-    """Set of loom_rid modulo FILTER_BITS, as bits; its size does not depend on the input."""
-    x = F.pmod(F.col("loom_rid"), F.lit(FILTER_BITS))
-    rows = df.select(F.floor(x / 32768).cast("int").alias("k"), (x % 32768).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.collect():
-        out[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def near(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
-    """Documents that may be (or surely are not) in the set."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def has(v: pd.Series) -> pd.Series:
-        x = v.to_numpy(dtype=np.int64) % FILTER_BITS
-        return pd.Series((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
-
-    return docs.filter(has("loom_rid") if inside else ~has("loom_rid"))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """loom_rid, s, e: byte spans that together cover what repeats, as a written table.
 
@@ -365,9 +341,9 @@ def cut_spans(size: int, starts: list[int], ends: list[int]) -> list[tuple[int,
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with ``spans`` collected for each, documents that have none)."""
-    bits = bit_set(spans)
+    bits = bit_set(spans, "loom_rid")
     per = spans.groupBy("loom_rid").agg(F.collect_list("s").alias("loom_s"), F.collect_list("e").alias("loom_e"))
-    return near(docs, bits).join(per, "loom_rid", "left"), near(docs, bits, False)
+    return in_set(docs, "loom_rid", bits).join(per, "loom_rid", "left"), in_set(docs, "loom_rid", bits, False)
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
