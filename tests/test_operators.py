@@ -96,3 +96,17 @@ def test_stream_adds_each_chunk_once(spark, tmp_path):
     rows = spark.read.parquet(path).collect()
     assert sorted(r["index"] for r in rows) == [0, 1, 2]
     spark.catalog.clearCache()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomspark.cli import main
+
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(chunk(i, text=f"apples and {w}")) for i, w in enumerate(["pears", "plums", "figs"])))
+    where = ["--chunks", str(tmp_path / "a.jsonl"), "--index", str(tmp_path / "index")]
+    main([*where, "build"])
+    for mode in ("dense", "bm25", "hybrid"):
+        capsys.readouterr()
+        main([*where, "search", "plums", "--mode", mode, "--top-k", "2", "--rerank"])
+        said = capsys.readouterr().out
+        assert "apples and plums" in said.split("2. ")[0]
+    spark.catalog.clearCache()
