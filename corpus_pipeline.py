@@ -32,8 +32,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes that stand more than once."""
-    return suffix_dedup.remove_repeats(docs, length=400)
+    """Texts without passages of 400 bytes or of more than 50 words that stand more than once."""
+    return suffix_dedup.remove_repeats(docs, length=400, words=51)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,9 @@ Counts are keyed by 64-bit hashes within 64-bit anchor hashes.
 Edge cases: null text is empty; a text shorter than LENGTH keeps all; repeated rows are
 copies of each other and so are removed whole; repeated ids are told apart by text; an
 empty table gives no rows.  Texts may have up to 2**28 bytes.
+
+Passages can also be measured in words (``remove_repeats``): the text is then the 64-bit
+hashes of its words one after another, of which there may be 2**25.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_set, blocks, column_bytes, fold, in_set, list_bytes, materialise, mix, prefix_sums, scratch, span_hash
+from .common import bit_set, blocks, column_bytes, fold, in_set, list_bytes, materialise, mix, prefix_sums, scratch, span_hash, word_hashes, word_spans
 from .suffix_array import suffix_array
 
 LENGTH, GRAM, STEP = 400, 64, 18
@@ -48,6 +51,9 @@ GROUP = 4096
 #: Symbols that one suffix array is built over.
 SYMBOLS = 1 << 16
 
+#: Bytes that stand for a word where passages are measured in words.
+WORD = 8
+
 _POS = np.uint64((1 << 28) - 1)
 
 
@@ -56,6 +62,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("loom_rid", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
 
 
+def word_stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of documents whose words are written as hashes of WORD bytes."""
+    h, doc = word_hashes(buf, offs)
+    return h.view(np.uint8), WORD * np.searchsorted(doc, np.arange(len(offs)))
+
+
 # --- 1. anchors ----------------------------------------------------------------------------
 
 
@@ -96,7 +108,7 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tu
     return doc[first], a, first, last, g[a], whole
 
 
-def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def anchors(docs: DataFrame, length: int, gram: int, words: bool = False) -> DataFrame:
     """loom_rid, a, lo, hi, ah, hf: every anchor; its windows start lo to hi bytes before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +116,8 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             raw, offs = column_bytes(b.column("text"))
             rid = b.column("loom_rid").to_numpy()
             for lo, _, buf, at in blocks(raw, offs):
+                if words:
+                    buf, at = word_stream(buf, at)
                 doc, a, first, last, ah, hf = anchor_runs(buf, at, length, gram)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -131,7 +145,7 @@ def classes(rows: DataFrame, inner: str, outer: str) -> DataFrame:
 # --- 2. nodes ------------------------------------------------------------------------------
 
 
-def contexts(docs: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
+def contexts(docs: DataFrame, undecided: DataFrame, length: int, words: bool = False) -> DataFrame:
     """loom_rid, a, lo, hi, ah, rep and the bytes of each undecided run."""
     per = undecided.groupBy("loom_rid").agg(F.collect_list(F.struct("a", "lo", "hi", "ah", "rep")).alias("runs"))
     rows = in_set(docs, "loom_rid", bit_set(undecided, "loom_rid")).select("loom_rid", "text")
@@ -141,6 +155,8 @@ def contexts(docs: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
             out: list[tuple] = []
             for rid, text, runs in zip(b.column("loom_rid").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 t = text.encode("utf-8", "surrogatepass")
+                if words:
+                    t = word_stream(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes()
                 for r in runs:
                     out.append((rid, r["a"], r["lo"], r["hi"], r["ah"], r["rep"], t[r["a"] - r["hi"] : r["a"] - r["lo"] + length]))
             for i in range(0, len(out), 5000):
@@ -293,20 +309,20 @@ def counted_leaves(leaves: DataFrame, length: int) -> DataFrame:
 # --- whole operator ----------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
     """loom_rid, s, e: byte spans that together cover what repeats, as a written table.
 
-    ``docs`` has ``loom_rid`` (see :func:`keyed`).
+    ``words``: bytes are those of the word streams.  ``docs`` has ``loom_rid`` (see :func:`keyed`).
     """
     gram = max(8, min(GRAM, length // 4))
     if length < gram + STEP:
         raise ValueError(f"length must be at least {gram + STEP}")
     with scratch():
-        return materialise(_spans(docs, length, gram), keep=True)
+        return materialise(_spans(docs, length, gram, words), keep=True)
 
 
-def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    rows = materialise(anchors(docs, length, gram))
+def _spans(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
+    rows = materialise(anchors(docs, length, gram, words))
     known = classes(rows, "hf", "ah").select("hf", "n", "alone")
     decided = materialise(rows.join(known, "hf"))
     spans = decided.filter("n > 1").select("loom_rid", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + length).alias("e"))
@@ -314,7 +330,7 @@ def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     single = decided.filter("n = 1").select(*cols, F.lit(False).alias("rep"))
     stand_in = decided.filter("n > 1 and alone").dropDuplicates(["hf"]).select(*cols, F.lit(True).alias("rep"))
     undecided = materialise(single.unionByName(stand_in))
-    ctx = materialise(contexts(docs, undecided, length))
+    ctx = materialise(contexts(docs, undecided, length, words))
     known = materialise(classes(nodes(ctx, length, False), "nf", "core").select("nf", "n", "alone"))
     live = materialise(nodes(ctx, length, True).join(known, "nf"))
     whole = live.filter("n > 1 and not rep").select("loom_rid", (F.col("at") - F.col("nl")).alias("s"), (F.col("at") - (STEP - 1 - F.col("nr")) + length).alias("e"))
@@ -342,7 +358,7 @@ def cut_spans(size: int, starts: list[int], ends: list[int]) -> list[tuple[int,
 def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with ``spans`` collected for each, documents that have none)."""
     bits = bit_set(spans, "loom_rid")
-    per = spans.groupBy("loom_rid").agg(F.collect_list("s").alias("loom_s"), F.collect_list("e").alias("loom_e"))
+    per = spans.groupBy("loom_rid").agg(*(F.collect_list(c).alias(f"loom_{c}") for c in spans.columns if c != "loom_rid"))
     return in_set(docs, "loom_rid", bits).join(per, "loom_rid", "left"), in_set(docs, "loom_rid", bits, False)
 
 
@@ -373,22 +389,41 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return cut.unionByName(kept)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def word_cuts(raw: bytes, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Byte spans from the first to the last word of each run that spans of a word stream cover."""
+    first, last, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    runs = [(-(-x // WORD), y // WORD) for x, y in cut_spans(WORD * len(first), starts, ends)]
+    return [(int(first[i]), int(last[j - 1])) for i, j in runs if i < j]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text`` (whole characters only) and
-    ``n_chars`` set anew where that column exists; all rows and columns stay."""
+    ``n_chars`` set anew where that column exists; all rows and columns stay.
+
+    Passages are strings of ``length`` bytes and, if given, runs of ``words`` words, however
+    few bytes those have and whatever blanks part them; both are judged on the input.
+    """
     rows = keyed(docs)
-    some, none = with_spans(rows, repeated_spans(rows.withColumn("text", F.coalesce("text", F.lit(""))), length))
+    known = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    spans = repeated_spans(known, length)
+    if words is not None:
+        worded = repeated_spans(known, words * WORD, True).withColumnsRenamed({"s": "ws", "e": "we"})
+        spans = spans.unionByName(worded, allowMissingColumns=True)
+    else:
+        spans = spans.withColumns({c: F.lit(None).cast("int") for c in ("ws", "we")})
+    some, none = with_spans(rows, spans)
 
     @F.pandas_udf("string")
-    def left(text: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
+    def left(text: pd.Series, s: pd.Series, e: pd.Series, ws: pd.Series, we: pd.Series) -> pd.Series:
         out = []
-        for t, a, z in zip(text, s, e):
+        for t, a, z, wa, wz in zip(text, s, e, ws, we):
             if t is None or a is None:
                 out.append(t)
                 continue
             raw = t.encode("utf-8", "surrogatepass")
+            both = [*zip(a, z), *(word_cuts(raw, list(wa), list(wz)) if len(wa) else ())]
             parts, at = [], 0
-            for x, y in cut_spans(len(raw), list(a), list(z)):
+            for x, y in cut_spans(len(raw), [x for x, _ in both], [y for _, y in both]):
                 while x < y and raw[x] & 0xC0 == 0x80:  # within a character
                     x += 1
                 while y > x and y < len(raw) and raw[y] & 0xC0 == 0x80:
@@ -399,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(b"".join(parts).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    cut = some.withColumn("text", left("text", "loom_s", "loom_e"))
+    cut = some.withColumn("text", left("text", "loom_s", "loom_e", "loom_ws", "loom_we"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns).unionByName(none.select(*docs.columns))

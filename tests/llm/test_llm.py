@@ -222,6 +222,51 @@ def test_removal_equals_brute_force(spark, group):
         assert (got[i].n_removed, got[i].kept_sha256) == (n, hashlib.sha256(rest).hexdigest())
 
 
+def slow_word_removal(texts, length, words):
+    """Texts without the bytes of repeated strings and of repeated runs of words."""
+    import re
+
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    said = [[t[a:b] for a, b in own] for t, own in zip(texts, spans)]
+    at = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    runs = Counter(tuple(w[i : i + words]) for w in said for i in range(len(w) - words + 1))
+    out = []
+    for t, own, w in zip(texts, spans, said):
+        cut = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if at[t[i : i + length]] > 1:
+                cut[i : i + length] = [True] * length
+        for i in range(len(w) - words + 1):
+            if runs[tuple(w[i : i + words])] > 1:
+                a, b = own[i][0], own[i + words - 1][1]
+                cut[a:b] = [True] * (b - a)
+        out.append(bytes(b for b, c in zip(t, cut) if not c))
+    return out
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """Passages of 51 to 60 words under 400 bytes go, those of 50 words stay; long ones of few words go."""
+    import corpus_pipeline
+
+    random.seed(11)
+    fresh = lambda n, most=9: [f"{''.join(random.choices('abcdefghü', k=random.randint(1, most)))}" for _ in range(n)]
+    short = {n: fresh(n, 5) for n in range(48, 61)}
+    wide = fresh(30, 40)
+    texts = []
+    for n, words in [*short.items(), *((n, w) for n, w in short.items()), ("wide", wide), ("wide", wide)]:
+        own = f"#{len(texts)}"  # no word beside the passage is shared
+        texts.append(" ".join([*fresh(random.randint(60, 200)), own, *words, own, *fresh(random.randint(60, 200))]))
+    texts[20] = texts[20].replace(" ", "\n\t")  # other blanks between the same words
+    texts += ["", " ", " ".join(short[51]), "x" * 900]
+    docs = documents(spark, [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in corpus_pipeline.suffix_array_dedup(spark, docs, SF).collect()}
+    assert all(len(" ".join(w).encode()) < 400 for w in short.values())
+    want = slow_word_removal([t.encode() for t in texts], 400, 51)
+    for i, rest in enumerate(want):
+        assert got[i].text == rest.decode("utf-8", "ignore") and got[i].n_chars == len(got[i].text)
+    assert got[28].text == "" and all((" ".join(short[n]) in got[n - 48].text) == (n < 51) for n in short)
+
+
 # --- 4 ---
 
 
