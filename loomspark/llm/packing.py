@@ -8,7 +8,7 @@ a range becomes sequences of power-of-two lengths, which need no padding.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are packed one
 after another; an empty table gives no rows.  Token ids are those of the tokenizer file,
-in which special tokens' strings are ordinary text.
+whose added tokens are found inside text, as ``tokenizers`` does.
 """
 
 from __future__ import annotations
@@ -95,9 +95,9 @@ def encoder(path: str):
         # Byte-level vocabularies write printable bytes as themselves, the others as code points from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(chars[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-        _ENCODERS[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
@@ -108,7 +108,7 @@ def tokenised(docs: DataFrame, path: str, bounds: list[float]) -> DataFrame:
         enc = encoder(path)
         for b in batches:
             pos = curve_positions(b)
-            ids = [np.array([*enc.encode_ordinary(t or ""), 0], np.uint32).tobytes() for t in b.column("text").to_pylist()]
+            ids = [np.array([*enc.encode(t or "", allowed_special="all"), 0], np.uint32).tobytes() for t in b.column("text").to_pylist()]
             part = np.searchsorted(cuts, pos, "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(pos), b.column("doc_id"), pa.array([_narrow(x) for x in ids], pa.binary())], ["part", "pos", "doc_id", "ids"])
 

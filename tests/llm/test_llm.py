@@ -394,6 +394,24 @@ def test_packing_holds_every_token(spark):
     assert set(pieces) == set(ids)
 
 
+def test_added_tokens_are_found_inside_text(spark):
+    from tokenizers import Tokenizer
+
+    t, end = Tokenizer.from_file(tokenizer()), "<|endoftext|>"
+    random.seed(12)
+    texts = [f"a {end} b", end, f"{end}{end}", f" {end} ", f"x \n {end}\n\n y", f"<|{end}|>", "<|endoftext|", f"ü{end}é", f"a  {end}  'll"]
+    texts += ["".join(random.choices([end, " ", "  ", "\n", "ab", "don't", "é", "12", "<|", "|>"], k=random.randint(1, 12))) for _ in range(200)]
+    texts.append(f"word {end} " * 3000)
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    seen = Counter()
+    for r in packing.pack_documents(documents(spark, [(i, x, None, None, 0) for i, x in enumerate(texts)]), tokenizer()).collect():
+        seen[r.doc_id] += r.length
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert seen == {i: len(x) for i, x in enumerate(ids)}
+
+
 # --- 8, 10 ---
 
 
