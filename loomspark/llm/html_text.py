@@ -5,9 +5,12 @@ A page is read into a tree of its block elements.  Parts that are never article
 parts) are left out by tag, role and class.  Every remaining node gets its composite
 text density, characters per tag adjusted for link characters and link tags, and the sum
 of its children's densities.  The node of the greatest sum is the article's core; if it
-lies in an ``article`` or ``main`` element that element is the article, else every block
-under the body is taken whose density reaches the least density on the path from the
-core to the body, at its own densest part.  Lists that are nearly all links are dropped.
+lies in an ``article`` or ``main`` element that element is the article and is taken whole.
+Else the core is taken whole and, in page order, what stands beside the path from the
+core to the body: text, headings, paragraphs and other blocks of text, and those
+containers (div, section) whose density reaches the least on the path.  Without an
+article, lists beside the path that are nearly all links count as menus, as do those
+before any text of the core and those directly in a body that is itself the core.
 
 Edge cases: null or empty html, or a page without text, gives an empty text; unclosed
 and stray tags are tolerated; nesting depth is unbounded (no recursion); repeated rows
@@ -50,6 +53,9 @@ BOILERPLATE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 NEVER_BY_CLASS = frozenset("html body main article".split())
 
+#: Blocks that hold others; beside the core only these are judged by their density.
+CONTAINERS = frozenset("html body div section center fieldset search".split())
+
 _ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -253,14 +259,14 @@ def _link_list(n: Node) -> bool:
     return n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.links >= 3 and n.link_chars > 0.9 * n.chars
 
 
-def _blocks(n: Node) -> list[str]:
+def _blocks(n: Node, menu_first: bool = False) -> list[str]:
     out: list[str] = []
     todo: list[Node | str] = [n]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x is n or not _link_list(x):
+        elif not (menu_first and not out and x is not n and _link_list(x)):
             todo += reversed(x.items)
     return out
 
@@ -285,20 +291,20 @@ def main_text(page: str | None) -> str:
         if found := [n for n in path if n.tag == kind]:
             return "\n".join(_blocks(found[0]))
     least = min(n.density for n in path)
-    # From the body down: a block that reaches the threshold gives its densest part.
+    # From the body down: the path's own text, the core, and what belongs to it beside them.
     out: list[str] = []
-    todo: list[Node] = [body]
+    todo: list[Node | str] = [body]
     chain = set(map(id, path))
     while todo:
-        n = todo.pop()
-        if n is core:
-            out += _blocks(n)
-        elif id(n) in chain:
-            for c in reversed([c for c in n.items if isinstance(c, Node)]):
-                todo.append(c)
-            continue
-        elif n.chars and n.density >= least and not _link_list(n):
-            out += _blocks(max(_order(n), key=lambda x: x.total))
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is core and x is not body:
+            out += _blocks(x, menu_first=True)
+        elif id(x) in chain:
+            todo += reversed(x.items)
+        elif not _link_list(x) and (core is body or x.tag not in CONTAINERS or x.chars and x.density >= least):
+            out += _blocks(x)
     return "\n".join(out)
 
 

@@ -293,6 +293,24 @@ def test_article_is_whole(spark):
         assert html_text.main_text(r.html) == "\n".join(b for b in blocks if b)
 
 
+def test_pages_without_article():
+    """Text, headings and short paragraphs beside the core stay, in page order; menus go."""
+    a, b, c = ("word " * 40).strip(), ("text " * 40).strip(), ("line " * 40).strip()
+    core = f"<div><p>{a}</p><p>{b}</p><p>{c}</p></div>"
+    whole = f"{a}\n{b}\n{c}"
+    menu = "<ul><li><a href=1>One link</a><li><a href=2>Two links</a><li><a href=3>Three links</a></ul>"
+    links = "One link\nTwo links\nThree links"
+    assert html_text.main_text(f"<body><div>Lead text.{core}</div></body>") == f"Lead text.\n{whole}"
+    assert html_text.main_text(f"<body><div><h1>Title</h1>{core}Last words.</div></body>") == f"Title\n{whole}\nLast words."
+    assert html_text.main_text(f"<body><div><p>Short.</p>{core}<p>End.</p></div></body>") == f"Short.\n{whole}\nEnd."
+    assert html_text.main_text(f"<body>{menu}<div>Lead.{core}</div><nav>{menu}</nav></body>") == f"Lead.\n{whole}"
+    assert html_text.main_text(f"<body><div>{menu}</div><div><p>{a}</p><p>{b}</p><p>{c}</p><h2>Sources</h2>{menu}</div></body>") == f"{whole}\nSources\n{links}"
+    assert html_text.main_text(f"<body>{menu}<p>{a}</p><p>{b}</p></body>") == f"{a}\n{b}"
+    assert html_text.main_text(f"<body><div>{menu}<p>{a}</p><p>{b}</p>{menu}</div></body>") == f"{a}\n{b}\n{links}"
+    for kind in ("article", "main"):
+        assert html_text.main_text(f"<body>{menu}<{kind}><h1>T</h1><p>{a}</p><p>{b}</p>{menu}</{kind}></body>") == f"T\n{a}\n{b}\n{links}"
+
+
 # --- 5 ---
 
 
