@@ -52,6 +52,19 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max
     return per.select("skey", F.col("source_size"), target.alias("target"))
 
 
+def sample_edges(bins: DataFrame) -> DataFrame:
+    """skey, cut, before: the bin in which a source's sample ends; none where nothing is sampled."""
+    bins = bins.filter("rest > 0")
+    before = F.coalesce(F.sum("words").over(W.partitionBy("skey").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return (
+        bins.withColumn("before", before)
+        .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+        .groupBy("skey")
+        .agg(F.min(F.struct("bin", "before")).alias("c"))
+        .select("skey", F.col("c.bin").alias("cut"), F.col("c.before").alias("before"))
+    )
+
+
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3.0, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``."""
     u = stable_fraction(F.lit(seed), F.col("doc_id"))
@@ -75,14 +88,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[floa
     ranked = sizes.join(goal, "skey").withColumn("q", F.when(F.col("p") > 0, odds / (odds + wanted)).otherwise(F.lit(1.0)))
     ranked = ranked.withColumn("bin", F.least(F.floor(F.col("q") * BINS), F.lit(BINS - 1)).cast("int"))
     bins = ranked.groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("skey").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = (
-        bins.withColumn("before", before)
-        .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        .groupBy("skey")
-        .agg(F.min(F.struct("bin", "before")).alias("c"))
-        .select("skey", F.col("c.bin").alias("cut"), F.col("c.before").alias("before"))
-    )
+    cut = sample_edges(bins)
     ranked = ranked.join(cut, "skey", "left")
     sure = ranked.filter(F.col("cut").isNull() | (F.col("bin") != F.col("cut")))
     sure = sure.withColumn("part", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))

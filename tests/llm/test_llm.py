@@ -488,6 +488,14 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_sources_without_a_sample_have_no_edge(spark):
+    """One source alone is taken whole and meets in no task; of two, only the one with a rest is cut."""
+    bins = spark.createDataFrame([("a", 4095, 500, 0), ("b", 3, 10, 15), ("b", 4, 10, 15)], "skey string, bin int, words long, rest long")
+    assert [tuple(r) for r in mixing.sample_edges(bins).collect()] == [("b", 4, 10)]
+    rows = [(i, "w " * (i % 7), None, "only", 0) for i in range(50)]
+    assert all(r.taken == r.size for r in mixing.mix_sources(documents(spark, rows)).collect())
+
+
 # --- pipeline ---
 
 
