@@ -8,7 +8,9 @@ for each word.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -44,35 +46,49 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark only."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if option not in spark.conf.getAll:  # a user's own setting stays
+        spark.conf.set(option, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors are threads of the driver, gets a temporary
+    folder where none is set; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = sc._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="loomspark-")
         sc.setCheckpointDir(found)
     return found
 
 
-#: Tables written by the open scratch scopes, innermost last.
-_SCRATCH: list[list[str]] = []
+#: Tables written by the open scratch scopes of a thread, innermost last.
+_SCRATCH = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_SCRATCH, "open"):
+        _SCRATCH.open = []
+    return _SCRATCH.open
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """A scope at whose end the tables written within it are deleted, but for kept ones."""
-    _SCRATCH.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        for path in _scopes().pop():
             fs, target = _target(path)
             fs.delete(target, True)
 
@@ -91,7 +107,7 @@ def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    scopes = _SCRATCH[:-1] if keep else _SCRATCH
+    scopes = _scopes()[:-1] if keep else _scopes()
     if scopes:
         scopes[-1].append(path)
     fs, target = _target(path)
@@ -99,6 +115,14 @@ def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def learnable(doc_id: str | Column = "doc_id") -> Column:
     """Rows that models may learn from: crc32 of the id as text, modulo 4, is not 2."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 != 2

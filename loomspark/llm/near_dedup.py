@@ -1,63 +1,56 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
 Each distinct shingle set keeps the ``K`` smallest of its 64-bit shingle hashes.  Sets of
-similarity num/den share at least ``least_shared`` of these but for a chance below 1e-7 a
-pair (45 of 80 at 0.8).  Inverted lists of retained values generate the overlaps.  By the
-prefix principle two such sets meet in ``MEET`` lists or more even if a set enters only
+similarity num/den share at least ``least_shared`` of these but for a chance below ``RISK``
+a pair (at 0.8, 39 of 80).  Inverted lists of retained values generate the overlaps.  By
+the prefix principle two such sets meet in ``MEET`` lists or more even if a set enters only
 the lists of its K - least + MEET rarest values, so values that many documents share link
 nothing by themselves.  Small sets are whole in their sketch and get the exact prefix.
 
-Candidates come in two rounds:
-
-1. Every list links its members to its first one, as many pairs as members.  This joins
-   large groups of near copies.
-2. Lists whose members are all in one component are done.  In the others each set outside
-   the largest component meets every member of another component, and a pair is kept if
-   it meets often enough.  Lists with more than ``SMALL`` outsiders are not multiplied
-   out: a pair that they alone could bring shares several of them, so the sets that are in
-   several get sketches of unlimited k, that is their whole sets, whose exact prefix is
-   only the rarest fifth and leaves out what a shared passage brings.  Lists that are long
-   even then hold several large groups of near copies that share a passage: a set meets
-   the members of such a group only if its shingles and the union of the group's leave the
-   similarity possible.  What is left are many small groups in one list; there a block of
-   ``SMALL`` sets at a time meets the whole list, until the list is done.
-
-In both the union sketch estimates each pair's similarity and drops the hopeless ones, and
-exact Jaccard on whole sets confirms the others.  Equal sets are one set throughout; their
-documents are joined to it at the end.
+Every list takes as its centre the member that is in most lists, so that the many lists of
+one family of near copies have the same centre, and the lists of a centre make one group.
+Two sets that are alike share a list and so a group.  No pairs are made: groups are compared
+in cells of bounded size (``cells``), in two rounds.
+
+1. The centre of each group meets its members.  This joins large families of near copies.
+2. Groups whose members are all in one component are done.  In the others each member
+   outside the largest component meets all members of another component.
+
+In both rounds the cells first hold sketches: the union sketch estimates each meeting's
+similarity, and only members with a likely partner go on.  Then the cells hold whole sets
+and exact Jaccard confirms; out come the links that connect what is alike.  Equal sets are
+one set throughout; their documents are joined to it at the end.
 
 Edge cases: null text or no words: an empty set, linked with nothing; repeated rows and
 ids are each returned; a set that only rows without id have is linked with nothing but its
-equals; an empty table gives no rows.
+equals; ties between centres go to the greater name; texts of any length are whole; an
+empty table gives no rows; further columns of ``docs`` are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from math import comb
+from collections.abc import Iterator
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bit_set, blocks, column_bytes, in_set, materialise, scratch, shingles, word_hashes
+from . import cells
+from .common import bit_set, blocks, column_bytes, fresh, in_set, materialise, scratch, shingles, word_hashes
 from .components import components
 
 K = 80
 #: Lists in which a pair must meet.
 MEET = 4
-#: Outsiders of a list up to which they are compared with all its members.
-SMALL = 64
-#: Sets in a component from which on it is judged by the union of its shingles.
-LARGE = 8
-#: Shingles of the sets that are compared with others as one block.
-BLOCK = 1 << 16
+#: Chance that a pair shares fewer retained values than it must.
+RISK = 1e-9
 
 
-def least_shared(share: float, k: int = K, risk: float = 1e-7) -> int:
+def least_shared(share: float, k: int = K, risk: float = RISK) -> int:
     """Most values that two sketches share but for ``risk`` if ``share`` of the union is common."""
     tail = 0.0
     for s in range(k + 1):
@@ -113,157 +106,71 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, lower: bool) -> D
     return sets.join(wanted.select("nid"), "nid", "left_semi").dropDuplicates(["nid"])
 
 
-def prefix_lists(reps: DataFrame, num: int, den: int, k: int = K) -> DataFrame:
-    """v, nid, need: membership of sets in the inverted lists that can generate a link.
+def prefix_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """v, nid, n: membership of sets in the inverted lists that can generate a link.
 
-    ``need`` is the number of lists in which the set meets each of its partners.  Sets so
-    small that no different set can be alike enough are in none.  ``k`` of 0: ``sk`` holds
-    whole sets.
+    Sets so small that no different set can be alike enough are in none.
     """
-    able = reps.filter(F.col("n") * (den - num) >= num)
-    each = able.select("nid", "n", F.size("sk").alias("k"), F.explode("sk").alias("v"))
-    shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    found = each.join(shared, "v")
     # A partner of a set below K * num / den is whole in its sketch too.
     exact = F.ceil(F.col("n") * num / den)
-    least = F.when(F.col("n") * den < k * num, exact).otherwise(F.lit(least_shared(num / den, k))) if k else exact
-    need = F.least(F.lit(MEET), least)
+    least = F.when(F.col("n") * den < K * num, exact).otherwise(F.lit(least_shared(num / den))).cast("short")
+    each = reps.filter(F.col("n") * (den - num) >= num).select("nid", least.alias("least"), F.explode("sk").alias("v"))
+    shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     w = W.partitionBy("nid")
-    # Values of one set alone are the rarest and fill the prefix first.
-    alone = F.col("k") - F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(w.orderBy("df", "v"))
-    return found.select("v", "nid", need.cast("int").alias("need"), "n", (rank <= F.col("k") - least + need - alone).alias("in_")).filter("in_").select("v", "nid", "need", "n")
+    # Values of one set alone are the rarest and fill the prefix first: K - least + MEET less their number.
+    room = F.count(F.lit(1)).over(w) - F.col("least") + F.least(F.lit(MEET), F.col("least"))
+    return each.join(shared, "v").select("v", "nid", room.alias("room"), F.row_number().over(w.orderBy("df", "v")).alias("rank")).filter("rank <= room").select("v", "nid")
 
 
-def likely(a: Column, b: Column, na: Column, nb: Column, num: int, den: int) -> Column:
-    """Whether the union sketch leaves a similarity of num/den possible."""
-    union = F.slice(F.array_sort(F.array_union(_unsigned(a), _unsigned(b))), 1, K)
-    both = F.size(F.array_intersect(union, F.array_intersect(_unsigned(a), _unsigned(b))))
-    enough = F.when(F.size(union) < K, both * den >= F.size(union) * num).otherwise(both >= least_shared(num / den))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & enough
+def meetings_needed(num: int, den: int) -> int:
+    """Lists that both sets of a link are in."""
+    smallest = ceil(num / (den - num)) if den > num else 1
+    return max(1, min(MEET, ceil(smallest * num / den), least_shared(num / den)))
 
 
-def _unsigned(a: Column) -> Column:
-    """Signed longs in the order of the unsigned hashes that they hold."""
-    return F.transform(a, lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))
+def groups(lists: DataFrame) -> DataFrame:
+    """c, nid, label: the members of all lists (v, nid, label) that have the same centre."""
+    often = lists.join(lists.groupBy("nid").agg(F.count(F.lit(1)).alias("often")), "nid")
+    centre = often.groupBy("v").agg(F.max(F.struct("often", "nid")).alias("o")).select("v", F.col("o.nid").alias("c"))
+    return lists.join(centre, "v").select("c", "nid", "label").distinct()
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, lower: bool, num: int, den: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets are alike, as a written table."""
-    with scratch():
-        return materialise(_confirmed(pairs, reps, docs, width, lower, num, den), keep=True)
+def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """v, nid, label: members of lists that hold several components, if in ``least`` of them."""
+    named = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("v", "nid", F.coalesce("label", "nid").alias("label"))
+    several = named.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("v")
+    open_ = named.join(several, "v")
+    return open_.join(open_.groupBy("nid").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least).select("nid"), "nid")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, lower: bool, num: int, den: int) -> DataFrame:
-    side = lambda c: reps.select(F.col("nid").alias(c), F.col("sk").alias(f"sk_{c}"), F.col("n").alias(f"n_{c}"))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").filter(likely(F.col("sk_a"), F.col("sk_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
-    left = materialise(left)
-    names = left.select(F.col("a").alias("nid")).unionByName(left.select(F.col("b").alias("nid"))).distinct()
-    wanted = reps.join(names, "nid", "left_semi").select("nid", F.col("id").alias("doc_id"))
-    sets = materialise(whole_sets(docs, wanted, width, lower))
-    full = left.join(sets.select(F.col("nid").alias("a"), F.col("els").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("els").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return full.filter(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
+def outsiders(found: DataFrame) -> DataFrame:
+    """``found`` (c, nid, label) of groups with several labels; those outside the largest one ask."""
+    sizes = found.groupBy("c", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("c").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    return found.join(main.select("c", F.col("top.label").alias("main")), "c").withColumn("ask", F.col("label") != F.col("main")).drop("main")
 
 
-def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists (v, nid, need) that hold several components, with the member's component ``c``,
-    the largest one ``main`` and the number of members outside it, ``out``."""
-    named = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("label", "nid")).drop("label")
-    sizes = named.groupBy("v", "c").agg(F.count(F.lit(1)).alias("m"))
-    per = sizes.groupBy("v").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top")).filter(F.col("all") > F.col("top.m"))
-    return named.join(per.select("v", F.col("top.c").alias("main"), (F.col("all") - F.col("top.m")).alias("out")), "v")
+class _Comparison:
+    """Compares groups first by sketches, then by whole sets."""
 
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int, lower: bool):
+        self.docs, self.reps, self.width, self.num, self.den, self.lower = docs, reps, width, num, den, lower
 
-def cross_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, need, spare: pairs of different components, once for each list that both are in."""
-    few = open_.filter("c != main").groupBy("v").agg(F.collect_list(F.struct("nid", "c", "need", "spare", "n")).alias("few"))
-    # Only partners of a possible size are multiplied out.
-    partner = lambda o: (o["c"] != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("nid") < o["nid"])) & (F.least(o["n"], F.col("n")) * den >= F.greatest(o["n"], F.col("n")) * num)
-    met = open_.join(few, "v").withColumn("o", F.explode(F.filter("few", partner)))
-    return met.select(
-        F.least("nid", "o.nid").alias("a"), F.greatest("nid", "o.nid").alias("b"), F.least("need", "o.need").alias("need"), F.least("spare", "o.spare").alias("spare")
-    )
+    def links(self, found: DataFrame) -> DataFrame:
+        """a, b: what is alike in ``found`` (c, nid, label, ask), as a written table."""
+        with scratch():
+            return materialise(self._links(found), keep=True)
 
-
-def second_round(lists: DataFrame, labels: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs, long lists that are left).
-
-    ``whole``: from names (nid) to their whole sets (nid, n, sk).
-    """
-    open_ = materialise(open_lists(lists, labels))
-    big = open_.filter(F.col("out") > SMALL)
-    spare = big.groupBy("nid").agg(F.count(F.lit(1)).alias("spare"))
-    small = open_.filter(F.col("out") <= SMALL).join(spare, "nid", "left").na.fill(0, ["spare"])
-    met = cross_pairs(small, num, den).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need"), F.first("spare").alias("spare"))
-    pairs = met.filter(F.col("times") + F.col("spare") >= F.col("need")).select("a", "b")
-    # A pair that no short list brings shares as many long ones as it needs.
-    only = materialise(big.join(spare, "nid").filter(F.col("spare") >= F.col("need")).select("nid").distinct())
-    if only.isEmpty():
-        return materialise(pairs), only.select(F.lit(0).cast("long").alias("v"), "nid", F.lit(0).alias("need"), F.lit(0).alias("n"))
-    deeper = materialise(open_lists(prefix_lists(whole(only), num, den, 0), labels))
-    short = deeper.filter(F.col("out") <= SMALL).withColumn("spare", F.lit(0))
-    pairs = pairs.unionByName(cross_pairs(short, num, den).select("a", "b"))
-    return materialise(pairs.distinct()), deeper.filter(F.col("out") > SMALL).select("v", "nid", "need", "n")
-
-
-def group_links(left: DataFrame, labels: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links of sets with members of large components, lists without those members).
-
-    A set z and a member x of component A share at most the s shingles that z shares with
-    the union of A, so their similarity is at most s / (|z| + least |x| - s).  Where that
-    leaves it possible, blocks of sets are compared whole, and one link for each set and
-    block is all that comes out.
-    """
-    named = left.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("label", "nid")).drop("label")
-    sizes = named.select("nid", "c").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m"))
-    named = materialise(named.join(sizes, "c"))
-    large = named.filter(F.col("m") >= LARGE)
-    asked = named.join(large.select("v", F.col("c").alias("of")).distinct(), "v").filter("c != of").select("nid", "of").distinct()
-    sets = whole(named.select("nid").distinct())
-    members = large.select("nid", F.col("c").alias("of")).distinct()
-    inside = members.join(sets, "nid")
-    union = inside.select("of", F.explode("sk").alias("e")).distinct()
-    least = inside.groupBy("of").agg(F.min("n").alias("least"))
-    each = asked.join(sets, "nid").select("nid", "of", "n", F.explode("sk").alias("e"))
-    common = each.join(union, ["of", "e"]).groupBy("nid", "of", "n").agg(F.count(F.lit(1)).alias("s"))
-    may = common.join(least, "of").filter(den * F.col("s") >= num * (F.col("n") + F.col("least") - F.col("s"))).select("nid", "of")
-    one, other = _blocks(may.join(sets, "nid"), "z"), _blocks(inside, "x")
-    links = one.join(other, "of").mapInArrow(_first_links(num, den), "a long, b long")
-    return materialise(links.distinct()), named.filter(F.col("m") < LARGE).select("v", "nid", "need", "n")
-
-
-def _blocks(sets: DataFrame, name: str) -> DataFrame:
-    """of and an array of the sets (nid, sk) of it, in blocks of about ``BLOCK`` shingles."""
-    size = sets.groupBy("of").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("nid"), F.col("parts"))
-    return sets.join(size, "of").groupBy("of", part.alias("part")).agg(F.collect_list(F.struct("nid", "sk")).alias(name)).select("of", name)
-
-
-def _first_links(num: int, den: int):
-    """For each set of block z the first of block x that is alike: one link joins the groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                z, x = (b.column(c).slice(i, 1).flatten() for c in ("z", "x"))
-                xs, zs = x.field("sk"), z.field("sk")
-                flat, bounds = xs.flatten().to_numpy(), np.cumsum([0, *xs.value_lengths().to_pylist()])
-                n = np.diff(bounds)
-                names = x.field("nid").to_numpy()
-                out = []
-                for nid, els in zip(z.field("nid").to_pylist(), zs):
-                    mine = np.sort(els.values.to_numpy())
-                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-                    both = np.add.reduceat(hit.astype(np.int64), bounds[:-1])
-                    good = np.flatnonzero(den * both >= num * (n + len(mine) - both))
-                    if len(good):
-                        out.append((nid, int(names[good[0]])))
-                if out:
-                    a, c = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-
-    return run
+    def _links(self, found: DataFrame) -> DataFrame:
+        num, den = self.num, self.den
+        sized = materialise(found.join(self.reps.select("nid", "n"), "nid"))
+        sketches = self.reps.select("nid", F.col("sk").alias("els"))
+        dealt = cells.deal(sized, sketches, F.least(F.col("n"), F.lit(K)))
+        kinds = "c long, nid long, label long, n int, ask boolean"
+        left = materialise(dealt.mapInArrow(cells.partners(K, least_shared(num / den), num, den), kinds).distinct())
+        wanted = self.reps.join(left.select("nid").distinct(), "nid", "left_semi").select("nid", F.col("id").alias("doc_id"))
+        sets = materialise(whole_sets(self.docs, materialise(wanted), self.width, self.lower))
+        return cells.deal(left, sets, F.col("n")).mapInArrow(cells.links(num, den), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
@@ -276,39 +183,12 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, lower: bool) -> Dat
     rows = materialise(sketch_documents(docs, width, lower))
     reps = materialise(rows.filter("n > 0").groupBy("nid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     lists = materialise(prefix_lists(reps, num, den))
-
-    def stars(of: DataFrame, times: int) -> DataFrame:
-        centre = of.groupBy("v").agg(F.min(F.struct("nid", "n")).alias("o")).select("v", F.col("o.nid").alias("b"), F.col("o.n").alias("m"))
-        met = of.join(centre, "v").filter("nid != b").filter(F.least("n", "m") * den >= F.greatest("n", "m") * num).groupBy("nid", "b").agg(F.count(F.lit(1)).alias("n"))
-        return materialise(met.filter(F.col("n") >= times).select(F.col("nid").alias("a"), "b"))
-
-    sure = lambda pairs: confirm(pairs, reps, docs, width, lower, num, den)
-    edges = sure(stars(lists, MEET))
-    labels = components(edges)
-
-    def whole(names: DataFrame) -> DataFrame:
-        sets = whole_sets(docs, reps.join(names, "nid", "left_semi").select("nid", F.col("id").alias("doc_id")), width, lower)
-        return materialise(sets.select("nid", F.size("els").alias("n"), F.col("els").alias("sk")))
-
-    pairs, left = second_round(lists, labels, whole, num, den)
-    edges = edges.unionByName(sure(pairs))
+    compare = _Comparison(docs, reps, width, num, den, lower)
+    near = groups(lists.withColumn("label", F.col("nid"))).withColumn("ask", F.col("nid") == F.col("c"))
+    edges = compare.links(near)
+    left = materialise(open_lists(lists, components(edges), meetings_needed(num, den)))
+    edges = edges.unionByName(compare.links(outsiders(materialise(groups(left)))))
     labels = components(edges)
-    if not left.isEmpty():
-        links, left = group_links(materialise(left), labels, whole, num, den)
-        edges = materialise(edges.unionByName(links))
-        labels = components(edges)
-    while not left.isEmpty():
-        # A block of each list meets the whole list and leaves it.
-        rest = materialise(open_lists(left, labels))
-        first = F.row_number().over(W.partitionBy("v").orderBy("nid"))
-        block = rest.withColumn("r", first).filter(F.col("r") <= SMALL).select("v", F.col("nid").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"))
-        met = rest.join(block, "v").filter("c != oc").filter(F.least("n", "m") * den >= F.greatest("n", "m") * num).select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b"))
-        pairs = materialise(met.distinct())
-        more = sure(pairs)
-        if not more.isEmpty():
-            edges = materialise(edges.unionByName(more))
-            labels = components(edges)
-        left = materialise(rest.join(block.select("v", F.col("o").alias("nid")), ["v", "nid"], "left_anti").select("v", "nid", "need", "n"))
     named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "id", F.coalesce("label", "nid").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     of = named.join(least, "c").select("nid", "component_id")
@@ -320,13 +200,14 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, low
     """``docs`` without all but one document of each group (that of the least id).
 
     An id that stands in several rows stays if one of them stays, and equal rows of it
-    become one.
+    become one.  Rows without id stay.  All columns of ``docs`` stay, whatever their names.
     """
+    own = fresh(docs, "loom_id")
     found = materialise(near_duplicates(docs, width, num, den, lower).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("loom_id"))
-    left = docs.join(gone, F.col("doc_id") == F.col("loom_id"), "left_anti")
-    many = found.filter("rows > 1").select(F.col("doc_id").alias("loom_id"))
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(own))
+    left = docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
+    many = found.filter("rows > 1").select(F.col("doc_id").alias(own))
     if many.isEmpty():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("loom_id"))
+    same = F.col("doc_id").eqNullSafe(F.col(own))
     return left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates())

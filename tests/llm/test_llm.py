@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from loomspark.llm import chat, fingerprints, html_text, langid, mixing, near_dedup, packing, perplexity, quality, suffix_dedup
+from loomspark.llm import cells, chat, fingerprints, html_text, langid, mixing, near_dedup, packing, perplexity, quality, suffix_dedup
 from loomspark.llm.components import components
 from loomspark.llm.suffix_array import suffix_array
 
@@ -337,7 +337,7 @@ def test_fingerprints(spark):
 # --- 6 ---
 
 
-def test_groups_equal_brute_force(spark):
+def test_groups_equal_brute_force(spark, monkeypatch):
     random.seed(9)
     base = [[f"w{random.randint(0, 400)}" for _ in range(random.randint(3, 120))] for _ in range(50)]
     docs = []
@@ -361,13 +361,9 @@ def test_groups_equal_brute_force(spark):
                 a, b = sorted((find(i), find(j)))
                 at[b] = a
     df = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(docs)])
-    for small, large in ((near_dedup.SMALL, near_dedup.LARGE), (2, 3)):
-        keep = near_dedup.SMALL, near_dedup.LARGE
-        near_dedup.SMALL, near_dedup.LARGE = small, large
-        try:
-            got = {r.doc_id: r for r in near_dedup.near_duplicates(df, width=2).collect()}
-        finally:
-            near_dedup.SMALL, near_dedup.LARGE = keep
+    for block in (cells.BLOCK, 300):
+        monkeypatch.setattr(cells, "BLOCK", block)
+        got = {r.doc_id: r for r in near_dedup.near_duplicates(df, width=2).collect()}
         assert [got[i].component_id for i in range(len(docs))] == [find(i) for i in range(len(docs))]
         assert [got[i].n_shingles for i in range(len(docs))] == [len(s) for s in sets]
 
