@@ -70,14 +70,21 @@ def source_rows(results: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def format_results(results: DataFrame) -> DataFrame:
-    """One printable line set for each result."""
-    title = F.nullif(F.substring(F.coalesce("table_title", F.lit("")), 1, 55), F.lit(""))
-    page = F.concat(F.lit("p."), F.coalesce(F.col("page").cast("string"), F.lit("None")))
+    """One printable line set for each result.
+
+    A table is labelled by its title (55 characters), other chunks by their page, if any;
+    only a table shows its prose in place of its text.
+    """
+    table = F.col("chunk_type") == "table"
+    title = F.concat(F.lit("Table: "), F.substring(F.nullif("table_title", F.lit("")), 1, 55))
+    page = F.concat(F.lit("p."), F.nullif("page", F.lit(0)).cast("string"))
     return results.select(
         "query_id",
         "rank",
-        F.format_number("score", 4).alias("score_text"),
-        F.coalesce(title, page).alias("label"),
+        F.format_string("%.4f", F.col("score")).alias("score_text"),
+        "fiscal_year",
+        "chunk_type",
+        F.when(table, F.coalesce(title, F.lit("Table"))).otherwise(F.coalesce(page, F.lit(""))).alias("label"),
         F.substring(F.coalesce("section_breadcrumb", F.lit("")), 1, 70).alias("breadcrumb"),
-        printed_snippet(F.col("body")).alias("snippet"),
+        printed_snippet(F.when(table, F.col("body")).otherwise(F.col("full_text"))).alias("snippet"),
     )

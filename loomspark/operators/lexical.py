@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import lexical_text, tokens
+from ..sources.store import materialise, stored
 from .dense import matches, rank_by, top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Buckets of terms of a stored index; take more for a larger corpus.
+BUCKETS = 16
 
 
 @dataclass
 class LexicalIndex:
     """Tables of an index: they hold for the whole corpus, whatever a search filters."""
 
-    postings: DataFrame  # term, index, tf, dl
-    terms: DataFrame  # term, df, idf
+    postings: DataFrame  # bucket, term, index, tf, dl
+    terms: DataFrame  # bucket, term, df, idf
     rows: DataFrame  # index, chunk_id, chunk_type, fiscal_year
     n: int
     avgdl: float
 
 
+def bucket(buckets: int) -> Column:
+    """Part of the stored index that a term is in."""
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
 def manifest_text(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """index rows with ``lexical``, the text that is searched; a missing chunk gives an empty one."""
     body = chunks.select("chunk_id", "text", "text_nl")
@@ -32,27 +41,43 @@ def manifest_text(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.withColumn("lexical", lexical_text(F.col("chunk_type"), F.col("text"), F.col("text_nl"), F.col("section_breadcrumb")))
 
 
-def build_lexical(rows: DataFrame) -> LexicalIndex:
-    """Index of ``rows`` (index, chunk_id, chunk_type, fiscal_year, lexical).
+def lexical_index(spark: SparkSession, rows: Callable[[], DataFrame], path: str, buckets: int = BUCKETS) -> LexicalIndex:
+    """The keyword index stored at ``path``; built there from ``rows`` if it is not.
 
-    The postings are counted once and kept; corpus statistics are two numbers.
+    ``rows``: index, chunk_id, chunk_type, fiscal_year, lexical.  Postings and terms are
+    partitioned by ``bucket`` of the term, so that a search reads its terms' buckets alone.
+    Name ``path`` by the version of what is indexed: a stored index is never looked through
+    for changes.
     """
-    toks = rows.select("index", tokens(F.col("lexical")).alias("t")).select("index", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = toks.groupBy("term", "index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")).persist()
-    total = rows.agg(F.count(F.lit(1)).alias("n")).first().n
-    length = postings.agg(F.sum("tf").alias("s")).first().s or 0
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).persist()
-    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, rows.select("index", "chunk_id", "chunk_type", "fiscal_year"), total, length / total if total else 0.0)
+
+    def postings() -> DataFrame:
+        toks = rows().select("index", tokens(F.col("lexical")).alias("t")).select("index", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        counted = toks.groupBy("term", "index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        return counted.withColumn("bucket", bucket(buckets)).repartition("bucket")
+
+    names = stored(spark, f"{path}/rows", lambda: rows().select("index", "chunk_id", "chunk_type", "fiscal_year"))
+    found = stored(spark, f"{path}/postings", postings, "bucket")
+
+    def sums() -> DataFrame:
+        return names.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length")))  # one row each
+
+    total = stored(spark, f"{path}/sums", sums).first()
+
+    def terms() -> DataFrame:
+        df = found.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        raw = df.withColumn("raw", F.log(F.lit(total.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+        idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))
+        return raw.select("bucket", "term", "df", idf.alias("idf")).repartition("bucket")
+
+    return LexicalIndex(found, stored(spark, f"{path}/terms", terms, "bucket"), names, total.n, total.length / total.n if total.n else 0.0)
 
 
 def bm25_scores(ix: LexicalIndex, questions: DataFrame, text: str = "question") -> DataFrame:
     """query_id, index, score of every row that shares a token with the question."""
     asked = questions.select("query_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(ix.avgdl or 1.0)))
-    hit = asked.join(ix.terms, "term").join(ix.postings, "term")
+    hit = asked.join(ix.terms, "term").join(ix.postings, ["bucket", "term"])
     return hit.groupBy("query_id", "index").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
 
@@ -68,21 +93,20 @@ def bm25_top_k(ix: LexicalIndex, questions: DataFrame, k: int, text: str = "ques
             questions = questions.withColumn(c, F.lit(None).cast("string"))
     wants = questions.select("query_id", F.coalesce("want_fy", F.lit("")).alias("want_fy"), F.coalesce("want_type", F.lit("")).alias("want_type"))
     ok = matches(F.col("fiscal_year"), F.col("chunk_type"), F.col("want_fy"), F.col("want_type"))
-    hits = bm25_scores(ix, questions, text).join(ix.rows, "index").join(wants, "query_id").filter(ok).select("query_id", "score", "index", "chunk_id").persist()
+    hits = materialise(bm25_scores(ix, questions, text).join(ix.rows, "index").join(wants, "query_id").filter(ok).select("query_id", "score", "index", "chunk_id"))
     counts = wants.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.sum((F.round("score", 9) >= 0).cast("int")).alias("good")), "query_id", "left").na.fill(0, ["m", "good"])
-    needy = counts.filter(F.col("good") < k).persist()
+    needy = counts.filter(F.col("good") < k)
     most = needy.agg(F.max("m")).first()[0]
     if most is None:
         return top_k(hits, k)
-    filters = needy.select("want_fy", "want_type").distinct()
-    last = (
-        ix.rows.join(filters, ok)
-        .withColumn("r", F.row_number().over(W.partitionBy("want_fy", "want_type").orderBy(F.col("index").desc())))
-        .filter(F.col("r") <= k + most)
-    )
+    # The last k + most rows for each wanted pair of year and type; each row is under four such keys.
+    either = lambda c: F.explode(F.array_distinct(F.array(F.coalesce(c, F.lit("")), F.lit(""))))
+    keyed = ix.rows.select("index", "chunk_id", "chunk_type", either("fiscal_year").alias("want_fy")).select("index", "chunk_id", "want_fy", either("chunk_type").alias("want_type"))
+    last = keyed.join(needy.select("want_fy", "want_type").distinct(), ["want_fy", "want_type"])
+    last = last.withColumn("r", F.row_number().over(W.partitionBy("want_fy", "want_type").orderBy(F.col("index").desc()))).filter(F.col("r") <= k + most)
     fill = needy.join(last, ["want_fy", "want_type"]).filter(F.col("r") <= k + F.col("m")).select("query_id", F.lit(0.0).alias("score"), "index", "chunk_id")
     fill = fill.join(hits.select("query_id", "index"), ["query_id", "index"], "left_anti")
     return top_k(hits.unionByName(fill), k)
 
 
-__all__ = ["LexicalIndex", "build_lexical", "bm25_scores", "bm25_top_k", "manifest_text", "rank_by"]
+__all__ = ["LexicalIndex", "bm25_scores", "bm25_top_k", "lexical_index", "manifest_text", "rank_by"]

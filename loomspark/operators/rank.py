@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -25,24 +27,25 @@ def renumber(results: DataFrame, *order: Column) -> DataFrame:
 def deduplicate(results: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Drop what is too similar to a better-ranked result that is itself kept.
 
-    Similar pairs are found within each question's list (a pool of some hundred at most);
-    a fold over the ranks then keeps or drops each, looking at kept ones only.  A result
-    without tokens is kept and drops nothing.
+    A fold over each question's list, best first: a result stays if it is not too similar
+    to one that stays.  Lists are pools of some hundred results at most.  A result without
+    tokens is kept and drops nothing.
     """
-    results = results.persist()  # a whole retrieval plan stands behind it, and it is read three times
-    pool = with_body(results, chunks).select("query_id", "rank", F.array_distinct(tokens(F.col("body"))).alias("toks")).withColumn("m", F.size("toks")).persist()
-    worse = pool.select("query_id", F.col("rank").alias("rank2"), F.col("toks").alias("toks2"), F.col("m").alias("m2"))
-    # Sets of too different sizes cannot be alike: their tokens need not be compared.
-    sizes = (F.least("m", "m2") > 0) & (F.least("m", "m2") >= threshold * F.greatest("m", "m2"))
-    near = pool.join(worse, "query_id").filter(F.col("rank") < F.col("rank2")).filter(sizes).filter(jaccard(F.col("toks"), F.col("toks2")) >= threshold)
-    dups = near.groupBy("query_id", F.col("rank2").alias("rank")).agg(F.collect_list(near["rank"]).alias("dups"))
-    listed = pool.select("query_id", "rank").join(dups, ["query_id", "rank"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dups"))).alias("all"))
+    cols = [c for c in results.columns if c not in ("query_id", "rank")]
+    pool = with_body(results, chunks).withColumn("toks", F.array_distinct(tokens(F.col("body"))))
+    pool = pool.select("query_id", F.struct("rank", F.size("toks").alias("m"), "toks", *cols).alias("r"))
+    listed = pool.groupBy("query_id").agg(F.array_sort(F.collect_list("r"), lambda x, y: (x["rank"] - y["rank"]).cast("int")).alias("all"))
+
+    def alike(x: Column) -> Callable[[Column], Column]:
+        # Sets of too different sizes cannot be alike: their tokens need not be compared.
+        near = lambda y: F.least(x["m"], y["m"]) >= threshold * F.greatest(x["m"], y["m"])
+        return lambda y: F.when((F.least(x["m"], y["m"]) > 0) & near(y), jaccard(x["toks"], y["toks"]) >= threshold).otherwise(F.lit(False))
 
     def step(kept: Column, x: Column) -> Column:
-        return F.when(F.coalesce(F.arrays_overlap(kept, x["dups"]), F.lit(False)), kept).otherwise(F.concat(kept, F.array(x["rank"])))
+        return F.when(F.exists(kept, alike(x)), kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = listed.select("query_id", F.explode(F.aggregate("all", F.array().cast("array<bigint>"), step)).alias("rank"))
-    return renumber(results.join(kept, ["query_id", "rank"]))
+    kept = listed.select("query_id", F.inline(F.aggregate("all", F.slice("all", 1, 0), step)))
+    return renumber(kept.select(*results.columns))
 
 
 def edge_reorder(results: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EMBED_TYPES, MANIFEST_COLUMNS
-from ..sources.chunks import chunk_store, load_index, manifest_rows, read_chunks, with_order, write_index
+from ..sources.chunks import FILE_ORDER, chunk_store, load_index, manifest_rows, read_chunks, with_order, write_index
+from ..sources.store import file_system, materialise
+
+#: Parts in which a build embeds, each written when it is done.
+SLICES = 16
+LOG = logging.getLogger(__name__)
 
 
 def todo(eligible: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -25,15 +31,39 @@ def type_counts(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("chunk_type").isin(*EMBED_TYPES)).groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def build_index(eligible: DataFrame, embed: Callable[[Column], Column], order: list[str], start: int = 0) -> DataFrame:
+def embed_in_slices(rows: DataFrame, embed: Callable[[Column], Column], path: str, slices: int) -> DataFrame:
+    """``rows`` with ``embedding``, kept at ``path``, slice by slice.
+
+    Each slice is written when it is done, and a run after one that broke off goes on with
+    the rows that no slice has written.  A row whose embedding fails has a null.
+    """
+    spark = rows.sparkSession
+    for i in range(slices):
+        part = rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)) == i)
+        try:
+            part = todo(part, spark.read.parquet(path))
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        part.withColumn("embedding", embed(F.col("embed_text"))).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def build_index(eligible: DataFrame, embed: Callable[[Column], Column], order: list[str], start: int = 0, pending: str | None = None, slices: int = SLICES) -> DataFrame:
     """Manifest rows with vectors, ``index`` from ``start`` in the given order.
 
-    A row whose embedding fails (null) is left out, as one that cannot be indexed; it is
-    tried again by the next resuming run.
+    A row whose embedding fails (null) is left out, counted and logged; it is tried again by
+    the next resuming run.  ``pending``: a folder that keeps vectors until the index is whole.
     """
     rows = manifest_rows(eligible)
-    rows = rows.withColumn("embedding", embed(F.col("embed_text"))).filter("embedding is not null")
-    rows = with_order(rows, order, "index").withColumn("index", (F.col("index") + start).cast("long"))
+    if pending is None:
+        done = materialise(rows.withColumn("embedding", embed(F.col("embed_text"))))
+    else:
+        done = embed_in_slices(rows, embed, pending, slices)
+    failed = done.filter("embedding is null").count()
+    if failed:
+        LOG.warning("%d chunks could not be embedded; the next run tries them again", failed)
+    rows = with_order(done.filter("embedding is not null"), order, "index").withColumn("index", (F.col("index") + start).cast("long"))
     return rows.select(*MANIFEST_COLUMNS, "embedding")
 
 
@@ -52,10 +82,12 @@ def reembed_tables(index: DataFrame, eligible: DataFrame, embed: Callable[[Colum
 def run(spark: SparkSession, source: str, path: str, embed: Callable[[Column], Column], reindex: bool = False, tables_only: bool = False) -> DataFrame:
     """Build or update the index at ``path`` and return it.
 
-    A new version is written beside the old one and then takes its place, so that a run
-    that fails leaves the old index whole.
+    Vectors are kept in slices beside the index until it is whole, so that a run that
+    breaks off is taken up where it stopped.  A new version is written beside the old one
+    and then takes its place, so that a run that fails leaves an index.
     """
     eligible = read_chunks(spark, source, eligible_only=True)
+    pending = f"{path}.pending"
     old = None
     if not reindex or tables_only:
         try:
@@ -66,19 +98,26 @@ def run(spark: SparkSession, source: str, path: str, embed: Callable[[Column], C
     if tables_only and old is not None:
         new = reembed_tables(old, chunk_store(eligible), embed)
     elif old is None:
-        new = build_index(eligible, embed, ["file", "line"])
+        new = build_index(eligible, embed, FILE_ORDER, pending=pending)
     else:
         start = next_index(old)
-        new = old.unionByName(build_index(todo(eligible, old), embed, ["file", "line"], start))
+        new = old.unionByName(build_index(todo(eligible, old), embed, FILE_ORDER, start, pending))
     write_index(new, f"{path}.new")
     replace(spark, f"{path}.new", path)
+    fs, target = file_system(spark, pending)
+    fs.delete(target, True)
     return load_index(spark, path)
 
 
 def replace(spark: SparkSession, new: str, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
-    fs = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    if not fs.rename(a, b):
+    """Put ``new`` in the place of ``path``; if that fails, the old one is put back."""
+    fs, target = file_system(spark, path)
+    source, aside = file_system(spark, new)[1], file_system(spark, f"{path}.old")[1]
+    fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(source, target):
+        if fs.exists(aside):
+            fs.rename(aside, target)
         raise OSError(f"could not move {new} to {path}")
+    fs.delete(aside, True)

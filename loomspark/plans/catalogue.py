@@ -16,17 +16,24 @@ from ..operators.dense import dense_top_k
 from ..operators.lexical import bm25_scores, bm25_top_k
 from ..sources import chunks as S
 from ..sources import driver_tables as D
+from ..sources.store import materialise, shared_dir, stored, version
 from . import build
 from .models import stand_ins
-from .pipeline import Corpus, ask, hyde, stage3
+from .pipeline import Corpus, ask, hyde, stage3, with_pages
 
 WANT_FY, WANT_TYPE = "2019-2020", "table"
 Q = Callable[[SparkSession, str], DataFrame]
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    # The index is read by every retriever of a plan: computed once.
-    return Corpus.of(D.index(spark, sf_dir).persist(), D.chunks(spark, sf_dir))
+    """Index, chunks and keyword index; what is derived is stored once for these files."""
+    root = _root(spark, sf_dir)
+    index = stored(spark, f"{root}/index", lambda: D.index(spark, sf_dir))
+    return Corpus.of(index, D.chunks(spark, sf_dir), f"{root}/lexical")
+
+
+def _root(spark: SparkSession, sf_dir: str) -> str:
+    return f"{shared_dir(spark)}/loomspark-index-{version(spark, f'{sf_dir}/documents.parquet', f'{sf_dir}/embeddings.parquet')}"
 
 
 def _vector(spark: SparkSession, sf_dir: str, shift: int, name: str) -> DataFrame:
@@ -78,11 +85,11 @@ def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     eligible = D.chunks(spark, sf_dir).filter(F.col("chunk_type").isin("narrative", "table"))
-    return build.todo(eligible, D.index(spark, sf_dir)).select("chunk_id")
+    return build.todo(eligible, corpus(spark, sf_dir).index.filter("embedding is not null")).select("chunk_id")
 
 
 def index_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.per_type_index(D.index(spark, sf_dir)).select("chunk_id", "chunk_type", "index", "local_index", "page", "embed_chars", "table_title")
+    return S.per_type_index(corpus(spark, sf_dir).index).select("chunk_id", "chunk_type", "index", "local_index", "page", "embed_chars", "table_title")
 
 
 def query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +116,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataF
 
 def dense_topk(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataFrame:
     q = D.questions(spark, sf_dir)
-    return _out(dense_top_k(D.index(spark, sf_dir), _filtered(q) if filtered else q, 10), 5)
+    return _out(dense_top_k(corpus(spark, sf_dir).index, _filtered(q) if filtered else q, 10), 5)
 
 
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +138,7 @@ def rrf_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_results(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[Corpus, DataFrame]:
     c = corpus(spark, sf_dir)
-    return c, fusion.hybrid_top_k(c.index, c.lexical, D.questions(spark, sf_dir), k)
+    return c, materialise(fusion.hybrid_top_k(c.index, c.lexical, D.questions(spark, sf_dir), k))
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +147,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = corpus(spark, sf_dir), D.questions(spark, sf_dir)
-    other = q.select("query_id", F.lit(1).alias("variant"), F.substring("question", 1, 60).alias("question")).join(_vector(spark, sf_dir, 1, "qvec"), "query_id", "left")
+    other = q.select("query_id", F.lit(1).alias("variant"), T.keywords(F.col("question")).alias("question")).join(_vector(spark, sf_dir, 1, "qvec"), "query_id", "left")
     both = q.select("query_id", F.lit(0).alias("variant"), "question", "qvec").unionByName(other)
     return _out(fusion.multi_query(c.index, c.lexical, both, 5))
 
@@ -159,7 +166,9 @@ def hyde_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage3_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(stage3(corpus(spark, sf_dir), _asked(spark, sf_dir), 10))
+    c = corpus(spark, sf_dir)
+    found = with_pages(materialise(stage3(c, _asked(spark, sf_dir), 10)), c)
+    return _out(found.withColumn("chunk_id", F.concat_ws(" ", "chunk_id", "context")))
 
 
 def listwise_rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +201,7 @@ def expand_policy(c: Corpus, r: DataFrame) -> DataFrame:
 
 def reduce_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, r = hybrid_results(spark, sf_dir)
-    rel = _relevant(r).persist()
+    rel = materialise(_relevant(r))
     text = C.reduce_context(C.described(rel, c.index, c.chunks), X.expansion(rel, c.chunks, 1), c.chunks)
     return text.select("query_id", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n"))
 
@@ -215,7 +224,7 @@ def format_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdict_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.element_at(F.array(*[F.lit(x) for x in (" yes, clearly", "need more", "Adjacent page", "maybe", "no: see the adjacent one", "")]), (F.col("turn") % 6 + 1).cast("int"))
-    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.verdict(F.concat(said, F.lit(" "), F.substring("text", 1, 20))).alias("signal"))
+    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.verdict(F.concat(said, F.lit(" "), F.coalesce("text", F.lit("")))).alias("signal"))
 
 
 def id_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +233,7 @@ def id_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.base64(F.encode(F.substring("text", 1, 30), "UTF-8"))
+    b = F.base64(F.encode("text", "UTF-8"))
     url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), b)).otherwise(b)
     p = T.image_parts(url)
     return D.table(spark, sf_dir, "documents").select("doc_id", p["mime"].alias("mime"), F.md5(p["data"]).alias("data_md5"))
@@ -236,11 +245,11 @@ def two_way_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every benchmark item as a request, models by stand-ins; vectors by the hashing one too."""
     req = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("fiscal_year"), (F.col("item_id") % 2 == 1).alias("power_search"))
     c = corpus(spark, sf_dir)
     stub = stand_ins()
-    index = S.manifest_rows(c.chunks.filter("chunk_type in ('narrative', 'table')")).join(c.index.select("chunk_id", "index"), "chunk_id")
-    index = index.withColumn("embedding", stub.embed(F.col("embed_text"))).persist()
+    index = stored(spark, f"{_root(spark, sf_dir)}/hashed", lambda: c.index.withColumn("embedding", stub.embed(F.col("embed_text"))))
     return ask(stub, Corpus(index, c.chunks, c.lexical), req)
 
 

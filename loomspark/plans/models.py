@@ -37,19 +37,28 @@ TEMPLATES = {
 }
 
 
-def prompted(template: str, generate: Callable[[list[str]], list[str]], *names: str) -> Callable[..., Column]:
-    """A column function that fills ``template`` and sends it to ``generate``."""
+#: Prompts, and for each the image (mime, data) that goes with it or None, to replies.
+Generate = Callable[[list[str], list[tuple[str, bytes] | None]], list[str]]
+
+
+def prompted(template: str, generate: Generate, *names: str, image: bool = False) -> Callable[..., Column]:
+    """A column function that fills ``template`` and sends it to ``generate``.
+
+    With ``image`` the function takes one more column, struct(mime, data).  A prompt that
+    fails gives null.
+    """
 
     @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for prompts in batches:
+    def ask(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for prompts, shown in batches:
+            pictures = [None if d is None else (m, bytes(d)) for m, d in zip(shown["mime"], shown["data"])]
             try:
-                yield pd.Series(generate(prompts.tolist()), dtype=object)
+                yield pd.Series(generate(prompts.tolist(), pictures), dtype=object)
             except Exception:  # one of the prompts: find which
                 out = []
-                for p in prompts:
+                for p, i in zip(prompts, pictures):
                     try:
-                        out += generate([p])
+                        out += generate([p], [i])
                     except Exception:
                         out.append(None)
                 yield pd.Series(out, dtype=object)
@@ -60,21 +69,23 @@ def prompted(template: str, generate: Callable[[list[str]], list[str]], *names:
             if m[1] in names:
                 pieces += [F.lit(template[at : m.start()]), F.coalesce(cols[names.index(m[1])], F.lit(""))]
                 at = m.end()
-        return ask(F.concat(*pieces, F.lit(template[at:])))
+        picture = cols[len(names)] if image else F.lit(None).cast("struct<mime:string,data:binary>")
+        parts = F.struct(picture["mime"].alias("mime"), picture["data"].alias("data"))
+        return ask(F.concat(*pieces, F.lit(template[at:])), parts)
 
     return call
 
 
-def from_generator(generate: Callable[[list[str]], list[str]], embed: Callable[[Column], Column], pair_score: Callable[[Column, Column], Column]) -> Models:
+def from_generator(generate: Generate, embed: Callable[[Column], Column], pair_score: Callable[[Column, Column], Column]) -> Models:
     """All uses of a text model through one ``generate``."""
-    p = lambda name, *cols: prompted(TEMPLATES[name], generate, *cols)
+    p = lambda name, *cols, **more: prompted(TEMPLATES[name], generate, *cols, **more)
     return Models(
         filters=p("filters", "question"),
-        variants=p("variants", "question"),
+        variants=p("variants", "question", image=True),
         hypothetical=p("hypothetical", "question"),
         keywords=p("keywords", "question"),
         verdict=p("verdict", "question", "metadata", "body"),
-        answer=p("answer", "question", "context"),
+        answer=p("answer", "question", "context", image=True),
         faithful=p("faithful", "question", "answer", "context"),
         clarify=p("clarify", "question", "answer"),
         embed=embed,
@@ -84,14 +95,17 @@ def from_generator(generate: Callable[[list[str]], list[str]], embed: Callable[[
 
 @dataclass(frozen=True)
 class Models:
-    """``filters``, ``variants``, ``keywords``, ``faithful`` and ``clarify`` reply in JSON."""
+    """``filters``, ``variants``, ``keywords``, ``faithful`` and ``clarify`` reply in JSON.
+
+    ``variants`` and ``answer`` also get the request's image, struct(mime, data) or null.
+    """
 
     filters: Callable[[Column], Column]
-    variants: Callable[[Column], Column]
+    variants: Callable[[Column, Column], Column]
     hypothetical: Callable[[Column], Column]
     keywords: Callable[[Column], Column]
     verdict: Callable[[Column, Column, Column], Column]
-    answer: Callable[[Column, Column], Column]
+    answer: Callable[[Column, Column, Column], Column]
     faithful: Callable[[Column, Column, Column], Column]
     clarify: Callable[[Column, Column], Column]
     embed: Callable[[Column], Column]
@@ -126,11 +140,11 @@ def stand_ins(yes: float = 0.5, near: float = 0.3) -> Models:
     year = lambda q: F.regexp_extract(q, r"\b(20\d\d-20\d\d)\b", 1)
     return Models(
         filters=lambda q: F.to_json(F.create_map(F.lit("fiscal_year"), year(q))),
-        variants=lambda q: F.to_json(F.array(F.lower(q), F.reverse(F.split(q, " ")).getItem(0), q)),
+        variants=lambda q, image: F.to_json(F.array(F.lower(q), F.reverse(F.split(q, " ")).getItem(0), q)),
         hypothetical=lambda q: F.concat(F.lit("It is said that "), q),
         keywords=lambda q: F.to_json(F.slice(F.array_distinct(tokens(q)), 1, 5)),
         verdict=lambda q, meta, body: F.when(overlap(q, body) >= yes, "YES").when(overlap(q, body) >= near, "need adjacent").otherwise("NOT_FOUND"),
-        answer=lambda q, c: F.when(overlap(q, c) >= near, F.concat(F.lit("See "), F.substring(c, 1, 80))).otherwise(F.lit(ABSTAIN)),
+        answer=lambda q, c, image: F.when(overlap(q, c) >= near, F.concat(F.lit("See "), F.substring(c, 1, 80))).otherwise(F.lit(ABSTAIN)),
         faithful=lambda q, a, c: F.to_json(F.struct(c.contains(F.substring(a, 5, 80)).alias("faithful"), F.lit(None).cast("string").alias("issues"))),
         clarify=lambda q, a: F.to_json(F.struct(F.lit(False).alias("needed"), F.lit(None).cast("string").alias("question"))),
         embed=hash_embedder(),

@@ -16,7 +16,7 @@ EMBED = f"CASE WHEN {HEAD} = '' THEN {EMBED_BODY} ELSE concat({HEAD}, chr(10), c
 KEYWORDS = "coalesce(nullif(array_to_string(list_concat(list_filter(string_split(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: regexp_full_match(x, '[A-Z]{{2,}}')), regexp_extract_all({0}, '\\$?[\\d,]+\\.?\\d*%?')), ' '), ''), {0})"
 
 CHUNKS = "chunks AS (" + CHUNK_SQL.format(array="[", end="]", div="//") + ")"
-MANIFEST = f"manifest AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS index, c.*, {PAGE} AS page, {EMBED} AS embed_text, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.ord WHERE chunk_type IN ('narrative', 'table'))"
+MANIFEST = f"manifest AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS index, c.*, {PAGE} AS page, {EMBED} AS embed_text, e.embedding FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.ord WHERE chunk_type IN ('narrative', 'table'))"
 QUESTIONS = f"questions AS (SELECT item_id AS query_id, b.text AS question, e.embedding AS qvec, h.embedding AS hvec, {KEYWORDS.format('b.text')} AS keywords, CASE WHEN item_id % 2 = 0 THEN '{WANT_FY}' END AS want_fy FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = item_id LEFT JOIN embeddings h ON h.vec_id = item_id + 2)"
 LEX = f"""toks AS (SELECT index, unnest({TOKENS.format(LEXICAL)}) AS term FROM manifest),
 postings AS (SELECT term, index, count(*) AS tf FROM toks GROUP BY ALL),
@@ -42,7 +42,7 @@ def bm25(name: str, k: int, where: str = "true", text: str = "question", asked:
 
 
 def dense(name: str, k: int, where: str = "true", vec: str = "qvec", asked: str = "questions") -> str:
-    every = f"SELECT q.query_id, m.index, m.chunk_id, list_dot_product(CAST(q.{vec} AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS score FROM {asked} q JOIN manifest m ON {where} WHERE q.{vec} IS NOT NULL"
+    every = f"SELECT q.query_id, m.index, m.chunk_id, list_dot_product(CAST(q.{vec} AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS score FROM {asked} q JOIN manifest m ON {where} WHERE q.{vec} IS NOT NULL AND m.embedding IS NOT NULL"
     return best(name, every, k)
 
 
@@ -123,7 +123,7 @@ UNION ALL SELECT query_id, rank, 2, 0, parent_chunk_id FROM own WHERE parent_chu
 UNION ALL SELECT query_id, rank, 3, c.ord, c.chunk_id FROM own JOIN chunks c ON c.parent_chunk_id = own.parent_chunk_id AND c.chunk_id <> own.chunk_id
 UNION ALL SELECT query_id, rank, 4, c.ord, c.chunk_id FROM own JOIN chunks c ON c.parent_chunk_id = own.chunk_id)) WHERE k = 1) WHERE n <= 6"""
 
-SAID = "concat(CASE turn % 6 WHEN 0 THEN ' yes, clearly' WHEN 1 THEN 'need more' WHEN 2 THEN 'Adjacent page' WHEN 3 THEN 'maybe' WHEN 4 THEN 'no: see the adjacent one' ELSE '' END, ' ', left(text, 20))"
+SAID = "concat(CASE turn % 6 WHEN 0 THEN ' yes, clearly' WHEN 1 THEN 'need more' WHEN 2 THEN 'Adjacent page' WHEN 3 THEN 'maybe' WHEN 4 THEN 'no: see the adjacent one' ELSE '' END, ' ', coalesce(text, ''))"
 NORMAL = f"upper(trim({SAID}))"
 
 ORACLES: dict[str, str] = {
@@ -135,7 +135,7 @@ ORACLES: dict[str, str] = {
     "query_text": query("SELECT query_id, md5(concat('Find passages of reports that answer the question.', chr(10), 'Question: ', question)) AS text_md5 FROM questions"),
     "tokenize_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY 1",
     "keyword_fallback": f"SELECT conv_id, turn, {KEYWORDS.format('text')} AS keywords FROM conversations",
-    "resume_todo": query("SELECT chunk_id FROM chunks WHERE chunk_type IN ('narrative', 'table') AND chunk_id NOT IN (SELECT chunk_id FROM manifest)"),
+    "resume_todo": query("SELECT chunk_id FROM chunks WHERE chunk_type IN ('narrative', 'table') AND chunk_id NOT IN (SELECT chunk_id FROM manifest WHERE embedding IS NOT NULL)"),
     "index_per_type": query("SELECT chunk_id, chunk_type, index, row_number() OVER (PARTITION BY chunk_type ORDER BY index) - 1 AS local_index, page, CAST(length(embed_text) AS INT) AS embed_chars, table_title FROM manifest"),
     "bm25_stats": query("SELECT term, df, round(idf, 6) AS idf FROM terms"),
     "bm25_scores": query("SELECT query_id, index, round(score, 6) AS score FROM s", scores("s")),
@@ -150,14 +150,15 @@ ORACLES: dict[str, str] = {
     "multi_query_merge": query(
         "SELECT query_id, rank, round(score, 6) AS score, index, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, was) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY variant, was) AS k FROM (SELECT query_id, 0 AS variant, rank AS was, score, index, chunk_id FROM r UNION ALL SELECT query_id, 1, rank, score, index, chunk_id FROM v)) WHERE k = 1) WHERE rank <= 5",
         *FIVE,
-        "other AS (SELECT item_id AS query_id, left(text, 60) AS question, e.embedding AS qvec FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id + 1)",
+        f"other AS (SELECT item_id AS query_id, {KEYWORDS.format('text')} AS question, e.embedding AS qvec FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id + 1)",
         *hybrid("v", 5, "other"),
     ),
     "dedup_greedy": query(out("k"), *hybrid("r", 20), deduplicated("k", "r")),
     "edge_reorder": query(out("k"), *FIVE, reordered("k", "r")),
     "hyde_pipeline": query(out("y"), *hyde("y", 5)),
     "stage3_pipeline": query(
-        out("z"),
+        f"SELECT query_id, rank, round(score, 6) AS score, index, concat_ws(' ', z.chunk_id, (SELECT string_agg(o.chunk_id, ' ' ORDER BY o.ord) FROM paged o JOIN paged c ON c.chunk_id = z.chunk_id AND o.fiscal_year = c.fiscal_year AND o.page = c.page AND o.chunk_id <> c.chunk_id)) AS chunk_id FROM z",
+        f"paged AS (SELECT chunk_id, ord, fiscal_year, {PAGE} AS page FROM chunks)",
         *hyde("y", 50, ON_YEAR),
         bm25("w", 50, ON_YEAR, "keywords"),
         fused("z1", "y", "w"),
@@ -183,7 +184,7 @@ ORACLES: dict[str, str] = {
     "expand_policy": query("SELECT * FROM found", *FIVE, REL, NUMBERED, FOUND),
     "verdict_normalise": f"SELECT conv_id, turn, CASE WHEN {NORMAL} LIKE 'YES%' THEN 'YES' WHEN {NORMAL} LIKE '%ADJACENT%' OR {NORMAL} LIKE 'NEED%' THEN 'NEED_ADJACENT' ELSE 'NOT_FOUND' END AS signal FROM conversations",
     "id_parts": query("SELECT chunk_id, CASE WHEN chunk_id LIKE '%#_%' ESCAPE '#' AND TRY_CAST(split_part(chunk_id, '_', -1) AS INT) IS NOT NULL THEN split_part(chunk_id, '_', 1) END AS prefix, CASE WHEN chunk_id LIKE '%#_%' ESCAPE '#' THEN TRY_CAST(split_part(chunk_id, '_', -1) AS INT) END AS number FROM (SELECT chunk_id FROM chunks UNION ALL SELECT concat_ws('_', source, lang) FROM documents)"),
-    "image_decode": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime, md5(left(text, 30)) AS data_md5 FROM documents",
+    "image_decode": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime, md5(text) AS data_md5 FROM documents",
     "two_way_softmax": "SELECT vec_id, round(1 / (1 + exp(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE))), 6) AS p FROM embeddings",
     "reduce_context": query(
         "SELECT query_id, md5(string_agg(block, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank, part, pos, block)) AS context_md5, length(string_agg(block, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank, part, pos, block)) AS n FROM blocks GROUP BY 1",
@@ -204,7 +205,7 @@ ORACLES: dict[str, str] = {
         f"SELECT query_id, rank, fiscal_year, chunk_type, page, section_breadcrumb, coalesce(table_title, '') AS table_title, round(score, 4) AS score, left(body, 300) AS snippet, full_text, CASE WHEN rank < 5 THEN {SIGNAL} ELSE 'UNKNOWN' END AS signal FROM shown", *FIVE, DESCRIBED
     ),
     "format_results": query(
-        "SELECT query_id, rank, printf('%.4f', score) AS score_text, coalesce(nullif(left(coalesce(table_title, ''), 55), ''), concat('p.', coalesce(CAST(page AS VARCHAR), 'None'))) AS label, left(coalesce(section_breadcrumb, ''), 70) AS breadcrumb, concat(replace(left(body, 300), chr(10), ' '), CASE WHEN length(body) > 300 THEN '...' ELSE '' END) AS snippet FROM shown",
+        "SELECT query_id, rank, printf('%.4f', score) AS score_text, fiscal_year, chunk_type, CASE WHEN chunk_type = 'table' THEN coalesce('Table: ' || left(nullif(table_title, ''), 55), 'Table') ELSE coalesce('p.' || CAST(nullif(page, 0) AS VARCHAR), '') END AS label, left(coalesce(section_breadcrumb, ''), 70) AS breadcrumb, concat(replace(left(told, 300), chr(10), ' '), CASE WHEN length(told) > 300 THEN '...' ELSE '' END) AS snippet FROM (SELECT *, CASE WHEN chunk_type = 'table' THEN body ELSE full_text END AS told FROM shown)",
         *FIVE,
         DESCRIBED,
     ),

@@ -6,16 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from ..functions.text import image_parts, query_text, verdict
 from ..functions.text import keywords as keyword_fallback
-from ..functions.text import query_text, verdict
 from ..operators.context import described, faithfulness_context, metadata, reduce_context, source_rows
 from ..operators.dense import dense_top_k
-from ..operators.expand import expansion, full_page
+from ..operators.expand import collect_context, expansion, full_page
 from ..operators.fusion import first_k, multi_query, rrf
-from ..operators.lexical import LexicalIndex, bm25_top_k, build_lexical, manifest_text
+from ..operators.lexical import LexicalIndex, bm25_top_k, lexical_index, manifest_text
 from ..operators.rank import deduplicate, edge_reorder, rerank
+from ..sources.store import materialise
 from .models import ABSTAIN, NO_ANSWER, Models
 
 RELEVANT = ("YES", "NEED_ADJACENT")
@@ -30,8 +30,9 @@ class Corpus:
     lexical: LexicalIndex
 
     @classmethod
-    def of(cls, index: DataFrame, chunks: DataFrame) -> Corpus:
-        return cls(index, chunks, build_lexical(manifest_text(index, chunks)))
+    def of(cls, index: DataFrame, chunks: DataFrame, path: str) -> Corpus:
+        """``path``: where the keyword index is stored (see :func:`lexical_index`)."""
+        return cls(index, chunks, lexical_index(index.sparkSession, lambda: manifest_text(index, chunks), path))
 
 
 def hyde(corpus: Corpus, questions: DataFrame, k: int) -> DataFrame:
@@ -58,6 +59,13 @@ def stage3(corpus: Corpus, questions: DataFrame, k: int = 10) -> DataFrame:
     return first_k(deduplicate(found, corpus.chunks), k)
 
 
+def with_pages(results: DataFrame, corpus: Corpus) -> DataFrame:
+    """Results of the widest search with ``context``: the other chunks of their pages, in order."""
+    pages = collect_context(full_page(results, corpus.chunks))
+    none = F.array().cast("array<string>")
+    return results.join(pages, ["query_id", "rank"], "left").withColumn("context", F.coalesce("context", none))
+
+
 def keyword_text(models: Models, question: Column) -> Column:
     """A model's list of terms, else acronyms and numbers, else the question."""
     said = F.array_join(F.from_json(models.keywords(question), "array<string>"), " ")
@@ -67,7 +75,8 @@ def keyword_text(models: Models, question: Column) -> Column:
 def query_variants(models: Models, questions: DataFrame, n: int = 3) -> DataFrame:
     """query_id, variant, question: the question, then a model's first n other wordings less
     blanks and copies of the question."""
-    said = F.coalesce(F.from_json(models.variants(F.col("question")), "array<string>"), F.array().cast("array<string>"))
+    image = F.col("image") if "image" in questions.columns else F.lit(None).cast("string")
+    said = F.coalesce(F.from_json(models.variants(F.col("question"), image_parts(image)), "array<string>"), F.array().cast("array<string>"))
     rest = F.filter(F.slice(said, 1, n), lambda x: x.isNotNull() & (F.trim(x) != "") & (F.trim(x) != F.col("question")))
     cols = [c for c in ("want_fy",) if c in questions.columns]
     return questions.select("query_id", *cols, F.posexplode(F.concat(F.array("question"), rest)).alias("variant", "question"))
@@ -88,8 +97,10 @@ def answer(models: Models, corpus: Corpus, questions: DataFrame, judged: DataFra
     """
     relevant = judged.filter(F.col("signal").isin(*RELEVANT))
     context = reduce_context(relevant, expansion(relevant.select("query_id", "rank", "chunk_id", "signal"), corpus.chunks, radius), corpus.chunks)
-    asked = questions.select("query_id", "question").join(context, "query_id", "left")
-    said = asked.withColumn("said", F.when(F.col("context").isNotNull(), F.trim(models.answer(F.col("question"), F.coalesce("context", F.lit(""))))))
+    image = F.col("image") if "image" in questions.columns else F.lit(None).cast("string")
+    asked = questions.select("query_id", "question", image.alias("image")).join(context, "query_id", "left")
+    reply = models.answer(F.col("question"), F.coalesce("context", F.lit("")), image_parts(F.col("image")))
+    said = materialise(asked.withColumn("said", F.when(F.col("context").isNotNull(), F.trim(reply))))  # a model's replies are had once
     nothing, failed = F.col("context").isNull(), F.col("said").isNull()
     out = said.withColumn("abstained", nothing | F.coalesce(F.col("said").contains(ABSTAIN), F.lit(False)))
     out = out.withColumn("answer", F.when(F.col("abstained"), F.lit(NO_ANSWER)).when(failed, F.lit("Generation error: the model gave no reply")).otherwise(F.col("said")))
@@ -118,46 +129,48 @@ def detected_filters(models: Models, question: Column) -> Column:
 
 
 def ask(models: Models, corpus: Corpus, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(responses, sources) for requests (query_id, question, fiscal_year, power_search).
+    """(responses, sources) for requests (query_id, question, fiscal_year, power_search, image).
 
     All questions run as one batch.  Those that abstain run again, as a second batch,
     through the widest search, and its outcome is taken where it does not abstain.
-    A blank question gives an error row and no sources.
+    A blank question gives an error row and no sources.  Each step's outcome is a written
+    table, so plans stay short and no model is asked twice.
     """
+    if "image" not in requests.columns:
+        requests = requests.withColumn("image", F.lit(None).cast("string"))
     trimmed = requests.withColumn("question", F.trim(F.coalesce("question", F.lit(""))))
     bad = trimmed.filter("question = ''").select("query_id", F.lit("No question provided").alias("error"))
     q = trimmed.filter("question != ''").withColumn("filters", detected_filters(models, F.col("question")))
-    q = q.withColumn("want_fy", F.coalesce(F.nullif("fiscal_year", F.lit("")), F.col("filters")["fiscal_year"])).persist()
-    answers, results, judged = None, None, None
+    q = materialise(q.withColumn("want_fy", F.coalesce(F.nullif("fiscal_year", F.lit("")), F.col("filters")["fiscal_year"])))
+    answers, judged = None, None
     for power, k, radius in ((False, 5, 1), (True, 10, 3)):
         part = q.filter(F.coalesce("power_search", F.lit(False)) == power)
-        variants = query_variants(models, part).withColumn("qvec", models.embed(query_text(F.col("question"))))
+        variants = materialise(query_variants(models, part).withColumn("qvec", models.embed(query_text(F.col("question")))))
         order = lambda rows, asked: rerank(rows, asked, corpus.chunks, models.pair_score)
-        found = multi_query(corpus.index, corpus.lexical, variants, k, order).persist()
-        j = verdicts(models, corpus, part, found).persist()
-        a = answer(models, corpus, part, j, radius).withColumn("search_stage", F.lit(2 if power else 1))
+        found = materialise(multi_query(corpus.index, corpus.lexical, variants, k, order))
+        j = materialise(verdicts(models, corpus, part, found))
+        a = materialise(answer(models, corpus, part, j, radius).withColumn("search_stage", F.lit(2 if power else 1)))
         answers = a if answers is None else answers.unionByName(a)
         judged = j if judged is None else judged.unionByName(j)
-        results = found if results is None else results.unionByName(found)
-    answers = answers.persist()
     again = q.join(answers.filter("abstained").select("query_id"), "query_id", "left_semi")
-    again = again.withColumn("qvec", models.embed(query_text(F.col("question")))).withColumn("hvec", models.embed(F.coalesce(models.hypothetical(F.col("question")), F.col("question"))))
-    again = again.withColumn("keywords", keyword_text(models, F.col("question"))).persist()
-    deep = deduplicate(stage3(corpus, again, 10), corpus.chunks)
-    deep_judged = verdicts(models, corpus, again, deep).persist()
-    deep_answers = answer(models, corpus, again, deep_judged, 3).withColumn("search_stage", F.lit(3)).persist()
-    taken = deep_answers.filter("not abstained").select("query_id")
-    stays = answers.join(taken, "query_id", "left_anti").withColumn("search_stage", F.when(F.col("abstained"), F.lit(3)).otherwise(F.col("search_stage")))
-    final = stays.unionByName(deep_answers.join(taken, "query_id", "left_semi"))
-    rows = judged.join(taken, "query_id", "left_anti").unionByName(deep_judged.join(taken, "query_id", "left_semi"))
-    sources = source_rows(rows.drop("signal"), rows)
-    responses = final.join(q.select("query_id", F.col("filters").alias("filters_detected")), "query_id").withColumn("error", F.lit(None).cast("string"))
+    if not again.isEmpty():
+        answers, judged = _escalated(models, corpus, again, answers, judged)
+    sources = source_rows(judged.drop("signal"), judged)
+    responses = answers.join(q.select("query_id", F.col("filters").alias("filters_detected")), "query_id").withColumn("error", F.lit(None).cast("string"))
     return responses.unionByName(bad, allowMissingColumns=True), sources
 
 
-def deep_context(results: DataFrame, corpus: Corpus) -> DataFrame:
-    """Whole pages around results of the widest search."""
-    return full_page(results, corpus.chunks)
+def _escalated(models: Models, corpus: Corpus, again: DataFrame, answers: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, judged) after the widest search for the questions ``again``, which abstained."""
+    asked = again.withColumn("qvec", models.embed(query_text(F.col("question")))).withColumn("hvec", models.embed(F.coalesce(models.hypothetical(F.col("question")), F.col("question"))))
+    asked = materialise(asked.withColumn("keywords", keyword_text(models, F.col("question"))))
+    deep = materialise(deduplicate(stage3(corpus, asked, 10), corpus.chunks))
+    deep_judged = materialise(verdicts(models, corpus, asked, deep))
+    deep_answers = materialise(answer(models, corpus, asked, deep_judged, 3).withColumn("search_stage", F.lit(3)))
+    taken = deep_answers.filter("not abstained").select("query_id")
+    stays = answers.join(taken, "query_id", "left_anti").withColumn("search_stage", F.when(F.col("abstained"), F.lit(3)).otherwise(F.col("search_stage")))
+    rows = judged.join(taken, "query_id", "left_anti").unionByName(deep_judged.join(taken, "query_id", "left_semi"))
+    return stays.unionByName(deep_answers.join(taken, "query_id", "left_semi")), rows
 
 
-__all__ = ["Corpus", "ask", "answer", "deep_context", "hyde", "keyword_text", "query_variants", "stage3", "verdicts", "W"]
+__all__ = ["Corpus", "ask", "answer", "hyde", "keyword_text", "query_variants", "stage3", "verdicts", "with_pages"]

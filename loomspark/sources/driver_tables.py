@@ -8,13 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .store import ship
+
+#: Tables whose rows are costly to work on.
+DEALT = ("documents", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; small files that come as one partition are dealt to all cores."""
+    """A table.  One that comes as fewer partitions than there are cores is dealt to all of them."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df if name not in DEALT or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 #: The derivation, written once for both engines (``div`` is ``//`` in the oracle).
@@ -47,12 +53,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest with vectors: eligible chunks that have an embedding, ``index`` dense from 0."""
-    from .chunks import manifest_rows
+    """Manifest of all eligible chunks, ``index`` dense from 0, with a vector where there is one."""
+    from .chunks import manifest_rows, with_order
 
     rows = manifest_rows(chunks(spark, sf_dir).filter("chunk_type in ('narrative', 'table')"))
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
-    return rows.join(vec, "ord").withColumn("index", (F.row_number().over(W.orderBy("ord")) - 1).cast("long"))
+    return with_order(rows.join(vec, "ord", "left"), ["ord"], "index")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
