@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import mix
 
-#: Elements of the sets of one part.
-BLOCK = 1 << 17
-#: Meetings of elements that are looked at together, and entries of a table of counts.
-STEP = 1 << 21
+#: Elements of the sets of one part, and of the cells that are looked at together.
+BLOCK, TOGETHER = 1 << 14, 1 << 17
+#: Meetings of elements that are counted together, and entries of a table of counts.
+STEP = 1 << 20
 
 
 def deal(groups: DataFrame, sets: DataFrame, weight: Column) -> DataFrame:
@@ -46,7 +46,7 @@ def deal(groups: DataFrame, sets: DataFrame, weight: Column) -> DataFrame:
 
 
 def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of one or more whole cells, of about ``BLOCK`` elements or one cell."""
+    """Tables of one or more whole cells, of about ``TOGETHER`` elements or one cell."""
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
@@ -54,7 +54,7 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             continue
         held.append(b)
         size += len(b.column("els").flatten())
-        if size < BLOCK:
+        if size < TOGETHER:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         cell = t["cell"].to_numpy()
@@ -112,35 +112,66 @@ def _expand(lo: np.ndarray, count: np.ndarray, begin: int, end: int) -> tuple[np
     return i, lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
 
 
-def overlap_rows(s: Sets, k: int, least: int, num: int, den: int) -> np.ndarray:
-    """Rows with a partner whose union sketch leaves num/den possible; elements are sketches.
-
-    The union sketch is the ``k`` least values of both sketches; a common value is in it if
-    fewer than ``k`` values of the union are less.
-    """
+def _pairs(s: Sets, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(f, g, common, both) of pairs of rows with a common element: how many they have, and
+    how many of those are among the ``k`` least of the union of both."""
     (key, owner, rank), (other, of, other_rank) = s.asking, s.asked
     order = np.argsort(other, kind="stable")
     known = other[order]
     lo = np.searchsorted(known, key, "left")
     count = np.searchsorted(known, key, "right") - lo
-    good = np.zeros(s.rows, bool)
-    for begin, end in _runs(owner, np.cumsum(count), s.rows):
+    for begin, end in _runs(owner, np.cumsum(count), max(1, STEP // s.rows)):
         i, p = _expand(lo, count, begin, end)
-        m = order[p]
-        f, g = owner[i], of[m]
-        ok = np.flatnonzero(s.able(f, g, num, den))
-        if not len(ok):
+        if not len(i):
             continue
-        code, ranks = f[ok] * s.rows + g[ok], rank[i[ok]] + other_rank[m[ok]]
-        by = np.argsort(code, kind="stable")  # within a pair values stay ascending
-        code, ranks = code[by], ranks[by]
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        common = np.diff(np.append(first, len(code)))
-        before = np.arange(len(code)) - np.repeat(first, common)
-        both = np.add.reduceat((ranks - before < k).astype(np.int64), first)
-        f, g = code[first] // s.rows, code[first] % s.rows
+        m = order[p]
+        low, high = int(owner[begin]), int(owner[end - 1]) + 1
+        code, mine, theirs = (owner[i] - low) * s.rows + of[m], rank[i], other_rank[m]
+        if len(code) * 8 < (high - low) * s.rows:  # few meet: by pair, elements ascending
+            by = np.argsort(code, kind="stable")
+            code, places = code[by], (mine + theirs)[by]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            common = np.diff(np.append(first, len(code)))
+            before = np.arange(len(code)) - np.repeat(first, common)
+            both = np.add.reduceat((places - before < k).astype(np.int64), first)
+            code = code[first]
+        else:  # a table of all pairs, one element of each asking row after the other
+            common, both = np.zeros((2, (high - low) * s.rows), np.int32)
+            by = np.argsort(mine.astype(np.uint16), kind="stable") if mine.max() < 1 << 16 else np.argsort(mine, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(mine[by])) + 1, len(by))
+            start = 0
+            for stop in ends:
+                at = by[start:stop]
+                c = code[at]
+                before = common[c]
+                both[c] += mine[at] + theirs[at] - before < k
+                common[c] = before + 1
+                start = stop
+            code = np.flatnonzero(common)
+            common, both = common[code], both[code]
+        yield code // s.rows + low, code % s.rows, common, both
+
+
+def meeting_rows(s: Sets, need: int, num: int, den: int) -> np.ndarray:
+    """Rows that have ``need`` elements in common with a row of another label."""
+    good = np.zeros(s.rows, bool)
+    for f, g, common, _ in _pairs(s, 1):
+        enough = (common >= need) & s.able(f, g, num, den)
+        good[f[enough]] = True
+        good[g[enough]] = True
+    return good
+
+
+def overlap_rows(s: Sets, k: int, least: int, num: int, den: int) -> np.ndarray:
+    """Rows with a partner whose union sketch leaves num/den possible; elements are sketches.
+
+    The union sketch is the ``k`` least values of both sketches; a common value is in it if
+    fewer than ``k`` values of the union are less.
+    """
+    good = np.zeros(s.rows, bool)
+    for f, g, common, both in _pairs(s, k):
         union = s.size[f] + s.size[g] - common
-        enough = np.where(union < k, both * den >= union * num, both >= least)
+        enough = np.where(union < k, both * den >= union * num, both >= least) & s.able(f, g, num, den)
         good[f[enough]] = True
         good[g[enough]] = True
     return good
@@ -204,13 +235,12 @@ def connected(f: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
         label = new
 
 
-def partners(k: int, least: int, num: int, den: int) -> Callable:
-    """mapInArrow function: members (c, nid, label, n, ask) with a likely partner."""
+def filtered(keep: Callable[[Sets], np.ndarray]) -> Callable:
+    """mapInArrow function: members (c, nid, label, n, ask) that ``keep`` marks in a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_cells(batches):
-            good = pa.array(overlap_rows(Sets(t), k, least, num, den))
-            yield from t.select(["c", "nid", "label", "n", "ask"]).filter(good).to_batches()
+            yield from t.select(["c", "nid", "label", "n", "ask"]).filter(pa.array(keep(Sets(t)))).to_batches()
 
     return run
 

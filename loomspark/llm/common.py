@@ -7,15 +7,7 @@ for each word.
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import threading
-import uuid
-import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -23,26 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise, scratch, ship
+
+__all__ = ["materialise", "scratch"]
+
 #: Bytes of text that one numpy block holds (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 19
 #: Rows in an Arrow batch.
 BATCH_ROWS = 2000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to Python workers that would not find it (Spark's file server sends it)."""
-    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(root) in known or getattr(sc, "_loomspark_shipped", False):
-        return
-    path = Path(tempfile.mkdtemp(prefix="loomspark-")) / "loomspark.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted((root / "loomspark").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(path))
-    sc._loomspark_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark only."""
     ship(spark)
@@ -52,69 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master, whose executors are threads of the driver, gets a temporary
-    folder where none is set; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = sc._jsc.sc().getCheckpointDir()
-        found = own.get() if own.isDefined() else None
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="loomspark-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-#: Tables written by the open scratch scopes of a thread, innermost last.
-_SCRATCH = threading.local()
-
-
-def _scopes() -> list[list[str]]:
-    if not hasattr(_SCRATCH, "open"):
-        _SCRATCH.open = []
-    return _SCRATCH.open
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """A scope at whose end the tables written within it are deleted, but for kept ones."""
-    _scopes().append([])
-    try:
-        yield
-    finally:
-        for path in _scopes().pop():
-            fs, target = _target(path)
-            fs.delete(target, True)
-
-
-def _target(path: str):
-    sc = SparkSession.getActiveSession().sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
-
-
-def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    ``keep``: the table outlives the innermost scratch scope.  All end with the application.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    scopes = _scopes()[:-1] if keep else _scopes()
-    if scopes:
-        scopes[-1].append(path)
-    fs, target = _target(path)
-    fs.deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, made longer until ``df`` has no such column (Spark does not tell cases apart)."""
     taken = {c.lower() for c in df.columns}
@@ -123,11 +42,34 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows up to which a table of a few columns is sent to all executors.
+SENT_ROWS = 1 << 17
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A written table, marked to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def learnable(doc_id: str | Column = "doc_id") -> Column:
     """Rows that models may learn from: crc32 of the id as text, modulo 4, is not 2."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 != 2
 
 
+def bounded_sample(chosen: DataFrame, size: int) -> list[tuple]:
+    """(text, label) of ``chosen`` (doc_id, text, label, u), each once: a bounded sample of rows.
+
+    ``u`` is a row's random number in (0, 1).  If the texts have more than ``size`` bytes,
+    rows whose number is not below the share that ``size`` is of them are left out.
+    """
+    label = chosen.columns[2]
+    found = materialise(chosen.distinct())
+    total = found.agg(F.sum(F.octet_length("text").cast("long")).alias("s")).first().s or 0
+    if total > size:
+        found = found.filter(F.col("u") < size / total)
+    return [(r.text, r[label]) for r in found.collect()]
+
+
 # --- sets of numbers, of bounded size -----------------------------------------------------
 
 #: Bits of a set that is sent to the executors (2 MB at any input size).

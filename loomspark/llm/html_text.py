@@ -4,17 +4,17 @@ A page is read into a tree of its block elements.  Parts that are never article
 (menus, headers, footers, sidebars, forms, notices, adverts, comments, scripts, hidden
 parts) are left out by tag, role and class.  Every remaining node gets its composite
 text density, characters per tag adjusted for link characters and link tags, and the sum
-of its children's densities.  The node of the greatest sum is the article's core; if it
-lies in an ``article`` or ``main`` element that element is the article and is taken whole.
-Else the core is taken whole and, in page order, what stands beside the path from the
-core to the body: text, headings, paragraphs and other blocks of text, and those
-containers (div, section) whose density reaches the least on the path.  Without an
-article, lists beside the path that are nearly all links count as menus, as do those
-before any text of the core and those directly in a body that is itself the core.
+of its children's densities.  The node of the greatest sum is the article's core and is
+taken whole.  The least density on the path from the core to the body is the threshold for
+what stands beside that path: containers (div, section) stay if they reach it; text,
+headings, paragraphs and other blocks of text stay, in page order.  Lists that are nearly
+all links count as menus if they stand beside the path or before any text of the core, but
+not within an ``article`` or ``main`` element of the path.
 
 Edge cases: null or empty html, or a page without text, gives an empty text; unclosed
-and stray tags are tolerated; nesting depth is unbounded (no recursion); repeated rows
-are each extracted; an empty table gives no rows.
+and stray tags are tolerated; nesting depth and length are unbounded (no recursion); of
+nodes with the same greatest sum the first is the core; repeated rows are each extracted;
+an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -287,23 +287,22 @@ def main_text(page: str | None) -> str:
     while n is not None and n is not body.parent:
         path.append(n)
         n = n.parent
-    for kind in ("article", "main"):
-        if found := [n for n in path if n.tag == kind]:
-            return "\n".join(_blocks(found[0]))
     least = min(n.density for n in path)
     # From the body down: the path's own text, the core, and what belongs to it beside them.
     out: list[str] = []
-    todo: list[Node | str] = [body]
     chain = set(map(id, path))
+    todo: list[tuple[Node | str, bool]] = [(body, False)]  # with whether an article encloses it
     while todo:
-        x = todo.pop()
+        x, within = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x is core and x is not body:
-            out += _blocks(x, menu_first=True)
+            continue
+        inner = within or id(x) in chain and x.tag in ("article", "main")
+        if x is core and x is not body:
+            out += _blocks(x, menu_first=not inner)
         elif id(x) in chain:
-            todo += reversed(x.items)
-        elif not _link_list(x) and (core is body or x.tag not in CONTAINERS or x.chars and x.density >= least):
+            todo += [(c, inner) for c in reversed(x.items)]
+        elif (within or not _link_list(x)) and (core is body or x.tag not in CONTAINERS or x.chars and x.density >= least):
             out += _blocks(x)
     return "\n".join(out)
 

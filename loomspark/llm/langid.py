@@ -6,12 +6,19 @@ that mean gives the language.  Both are trained by stochastic gradient descent i
 on a bounded sample.  Because text and softmax are linear, embedding and output matrix
 are multiplied once and a text then costs one small row for each n-gram.
 
+The sample takes of each language the rows whose hash of id and text is below a threshold
+that lets through ``SAMPLE_ROWS`` rows on average (all if it has fewer), so rare languages
+are learned too; if it has more than ``SAMPLE_BYTES`` the threshold is lowered in proportion.
+
 Calibration: a temperature fitted on a held-out fifth of the sample makes the score a
 probability; ``reject_below`` is the least score from which the held-out part is right
 at least ``ACCURACY`` of the time, and lower scores are marked ``rejected``.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any
-labelled row every text is ``und``; rows without language are not learned from.
+labelled row every text is ``und``; rows without language or id are not learned from; of
+equally likely languages the first by name is taken; texts of any length are whole; repeated
+rows are learned from once and each predicted; an empty table gives no rows; further columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -23,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column_bytes, learnable, list_bytes, mix
+from .common import blocks, bounded_sample, column_bytes, learnable, list_bytes, materialise, mix, sent, stable_fraction
 
 SIZES = (2, 3, 4)
 BUCKETS, DIM = 1 << 15, 16
-#: Bound on the rows that are learned from: those with the smallest hashes of their ids.
-SAMPLE_ROWS = 3000
+#: Bounds on what is learned from: rows of a language, on average, and bytes in all.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 26
 ACCURACY = 0.995
 
 #: ASCII letters folded to lower case, other ASCII bytes to a blank; all else as it is.
@@ -139,12 +146,12 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed:
     return Model(langs, table, bias, temperature, least)
 
 
-def learning_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` (text, language) pairs of learnable documents, chosen by hash of the id."""
-    can = docs.filter(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = can.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("h")).orderBy("h", "doc_id").limit(rows)
-    chosen = can.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "lang").limit(2 * rows)
-    return [(r.text, r.lang) for r in chosen.collect()]
+def learning_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """(text, language) pairs of learnable documents, about ``rows`` of each language, chosen by hash."""
+    can = docs.filter(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    share = can.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("share"))
+    found = can.join(sent(materialise(share)), "lang").withColumn("u", stable_fraction(F.lit(3), F.col("doc_id"), F.col("text")))
+    return bounded_sample(found.filter("u < share").select("doc_id", "text", "lang", (F.col("u") / F.least("share", F.lit(1.0))).alias("u")), size)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,113 +1,139 @@
 """Mix sources to target weights by Pareto order sampling.
 
-Targets: sources share the budget by weight; a target stops at ``max_repeats`` times
-its source's size and the excess is shared again by weight (water filling).  Each
-document of a source is then wanted target / source size times: the integer part is
-taken as certain whole copies; the rest is a fixed-size sample (fixed in words) in
-which documents are ranked by their random odds divided by their inclusion odds and
-taken in that order until the source's remaining words are reached.  The last document
-is taken in part, so that a source's words meet its target to within a word.
-
-The cut in the order is found from sums over ``BINS`` bins of the rank, so that only
-the documents of one bin of each source are ever sorted together.
+Targets: sources share the budget by weight; a target stops at ``max_repeats`` times its
+source's size and the excess is shared again by weight (water filling).  Every document of
+a source is taken target / source size times, rounded down: these whole copies are
+certain.  The source's remaining words are a fixed-size sample (fixed in words) of unequal
+probabilities: longer documents are wanted more.  The words are shared, by water filling
+again, among classes of documents of like size (powers of two), by the class's words times
+the power ``TASTE`` of its size, up to one copy; a document's inclusion probability is its
+class's share.  Documents are ranked by their random odds divided by their inclusion odds
+and taken in that order until the words are reached; near that edge a document is taken if
+it still fits.  Only whole copies are taken; a source misses its target by fewer words than
+the next documents in order have.
+
+The edge is found from sums over ``BINS`` bins of the rank, so that only the documents of
+one bin of a source, and of the next bins up to ``FIT`` documents, ever meet in one task.
+Sources and size classes, a row for each, are tables of a few rows.
 
 Edge cases: a null source is a source of its own, last in order; null text has size 0;
-documents of size 0 take nothing; repeated rows are ranked alike and each counts; an
-empty table gives no rows.  Random numbers come from hashes of the id: reruns agree.
+documents of size 0 take nothing; repeated rows are ranked alike and each counts; an empty
+table gives no rows; further columns are not looked at.  Random numbers come from hashes of
+id and text: reruns agree.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise, stable_fraction
+from .common import fresh, materialise, scratch, sent, stable_fraction
 
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 4096
+BINS = 1 << 14
+#: Power of a document's size by which it is wanted more often.
+TASTE = 0.125
+#: Documents after the edge's bin that may fill up what is left.
+FIT = 256
 
 
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3.0) -> DataFrame:
-    """skey, source, source_size, target: one row for each source (a small table)."""
-    per = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("w", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * float(max_repeats)).withColumn("ratio", F.col("cap") / F.col("w"))
-    by = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything, upto = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), by.rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("rn", F.row_number().over(by)).withColumn(
-        "level",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0)))
-        / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(upto), F.lit(0.0))),
-    )
-    # The first source whose cap is not below the level that is left decides the level of all later ones.
+def water_fill(rows: DataFrame, total: Column, of: list[str], tie: Column) -> DataFrame:
+    """``rows`` (w, cap) with ``share``: ``total``, the same in all rows of a group ``of``,
+    is shared by weight; a share stops at its cap and the excess is shared again."""
+    by = W.partitionBy(*of).orderBy("ratio", tie)
+    everything, before = W.partitionBy(*of), by.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("ratio", F.coalesce(F.try_divide("cap", "w"), F.lit(0.0))).withColumn("rn", F.row_number().over(by))
+    left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
+    rows = rows.withColumn("level", F.coalesce(F.try_divide(left, weight), F.lit(0.0)))
+    # The first row whose cap is not below the level that is left decides the level of all later ones.
     first = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("rn", "level"))).over(everything)
-    target = F.when(first.isNull() | (F.col("rn") < first["rn"]), F.col("cap")).otherwise(F.least("cap", F.col("w") * first["level"]))
-    return per.select("skey", F.col("source_size"), target.alias("target"))
+    share = F.when(first.isNull() | (F.col("rn") < first["rn"]), F.col("cap")).otherwise(F.least("cap", F.col("w") * first["level"]))
+    return rows.withColumn("share", F.greatest(share, F.lit(0.0))).drop("ratio", "rn", "level")
+
+
+def source_targets(classes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3.0) -> DataFrame:
+    """skey, source_size, target: one row for each source (a small table)."""
+    per = classes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    per = per.withColumn("w", F.element_at(cycle, (place % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(max_repeats))
+    everything = F.sum("source_size").over(W.partitionBy()).cast("double")
+    return water_fill(per, everything, [], F.col("source").asc_nulls_last()).select("skey", "source_size", F.col("share").alias("target"))
+
+
+def class_copies(classes: DataFrame, goal: DataFrame) -> DataFrame:
+    """skey, class, source_size, target, whole (certain copies), p (inclusion probability of one more), rest (words of the source's sample)."""
+    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    goal = goal.withColumn("whole", F.floor(rate + F.lit(1e-9)).cast("long"))
+    goal = goal.withColumn("rest", F.greatest(F.round("target").cast("long") - F.col("whole") * F.col("source_size"), F.lit(0)))
+    per = classes.join(goal, "skey").withColumn("w", F.col("words") * F.pow(F.lit(2.0), F.col("class") * TASTE)).withColumn("cap", F.col("words").cast("double"))
+    per = water_fill(per, F.col("rest").cast("double"), ["skey"], F.col("class"))
+    p = F.least(F.coalesce(F.try_divide("share", "words"), F.lit(0.0)), F.lit(1.0))
+    return per.select("skey", "class", "source_size", "target", "whole", p.alias("p"), "rest")
 
 
 def sample_edges(bins: DataFrame) -> DataFrame:
-    """skey, cut, before: the bin in which a source's sample ends; none where nothing is sampled."""
-    bins = bins.filter("rest > 0")
-    before = F.coalesce(F.sum("words").over(W.partitionBy("skey").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return (
-        bins.withColumn("before", before)
-        .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        .groupBy("skey")
-        .agg(F.min(F.struct("bin", "before")).alias("c"))
-        .select("skey", F.col("c.bin").alias("cut"), F.col("c.before").alias("before"))
-    )
+    """skey, cut, before, last: the bin in which a source's sample ends, the words before it,
+    and the last of the bins whose documents may fill up the rest."""
+    order = W.partitionBy("skey").orderBy("bin")
+    upto = bins.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("seen", F.sum("docs").over(order))
+    cut = upto.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).groupBy("skey").agg(F.min(F.struct("bin", "before", "seen")).alias("c"))
+    near = upto.join(cut, "skey").filter((F.col("bin") >= F.col("c.bin")) & ((F.col("bin") == F.col("c.bin")) | (F.col("seen") - F.col("c.seen") <= FIT)))
+    return near.groupBy("skey").agg(F.first("c.bin").alias("cut"), F.first("c.before").alias("before"), F.max("bin").alias("last"))
+
+
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """In order, what still fits into the words that are left."""
+    rows = rows.sort_values(["q", "doc_id", "size"], kind="stable")
+    left, more = int(rows["rest"].iloc[0] - rows["before"].iloc[0]), []
+    for size in rows["size"]:
+        more.append(int(size) if size <= left else 0)
+        left -= more[-1]
+    return rows.assign(taken=rows["whole"] * rows["size"] + more)[["doc_id", "size", "source_size", "target", "taken"]]
 
 
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``."""
-    u = stable_fraction(F.lit(seed), F.col("doc_id"))
-    sizes = materialise(
-        docs.select(
-            "doc_id",
-            "source",
-            F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("skey"),
-            (word_count() if size is None else size).alias("size"),
-            u.alias("u"),
-        )
-    )
-    goal = source_targets(sizes, weights, max_repeats)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.withColumn("whole", F.floor(rate + F.lit(1e-12)).cast("long"))
-    goal = goal.withColumn("rest", F.greatest(F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"), F.lit(0)))
-    goal = goal.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-    goal = materialise(goal)
+    """doc_id, size, source_size, target, taken for every row of ``docs``, as a written table."""
+    with scratch():
+        return materialise(_mixed(docs, word_count() if size is None else size, weights, max_repeats, seed), keep=True)
+
+
+def _mixed(docs: DataFrame, size: Column, weights: tuple[float, ...], max_repeats: float, seed: int) -> DataFrame:
+    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", skey.alias("skey"), size.alias("size"), stable_fraction(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"))
+    sizes = materialise(sizes.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int")))
+    classes = materialise(sizes.groupBy("skey", "class").agg(F.first("source").alias("source"), F.sum("size").alias("words")))
+    goal = materialise(class_copies(classes, source_targets(classes, weights, max_repeats)))
     # Odds ratio q, kept as q / (1 + q) in (0, 1); the sample's edge lies near a half.
-    odds, wanted = F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p"))
-    ranked = sizes.join(goal, "skey").withColumn("q", F.when(F.col("p") > 0, odds / (odds + wanted)).otherwise(F.lit(1.0)))
-    ranked = ranked.withColumn("bin", F.least(F.floor(F.col("q") * BINS), F.lit(BINS - 1)).cast("int"))
-    bins = ranked.groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    cut = sample_edges(bins)
-    ranked = ranked.join(cut, "skey", "left")
-    sure = ranked.filter(F.col("cut").isNull() | (F.col("bin") != F.col("cut")))
-    sure = sure.withColumn("part", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
-    edge = ranked.filter(F.col("bin") == F.col("cut"))
-    seen = F.coalesce(F.sum("size").over(W.partitionBy("skey").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    left = F.col("rest") - F.col("before") - seen
-    edge = edge.withColumn("part", F.greatest(F.least(left, F.col("size")), F.lit(0)))
-    cols = ["doc_id", F.col("size"), "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")]
-    return sure.select(*cols).unionByName(edge.select(*cols))
+    u, p = F.col("u"), F.col("p")
+    q = F.when(p > 0, F.try_divide(u * (1 - p), u * (1 - p) + p * (1 - u)))
+    ranked = sizes.drop("source").join(sent(goal), ["skey", "class"]).withColumn("q", q)
+    ranked = ranked.withColumn("bin", F.when(F.col("size") > 0, F.least(F.floor(F.col("q") * BINS), F.lit(BINS - 1)).cast("int")))
+    bins = ranked.filter("bin is not null").groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"), F.first("rest").alias("rest"))
+    ranked = ranked.join(sent(materialise(sample_edges(bins))), "skey", "left")
+    near = F.coalesce(F.col("bin").between(F.col("cut"), F.col("last")), F.lit(False))
+    # Without an edge all that may be sampled fits.
+    more = F.when(F.col("bin").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), F.col("size")).otherwise(F.lit(0))
+    far = ranked.filter(~near).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
+    edge = ranked.filter(near).select("skey", "doc_id", "size", "source_size", "target", "whole", "rest", "before", "q")
+    return far.unionByName(edge.groupBy("skey").applyInPandas(_fit, "doc_id long, size long, source_size long, target double, taken long"))
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as many times as round(taken / size) says.
+    """The mix itself: each document as many times as taken / size says.
 
-    A document of size 0 weighs nothing and is kept once.  Rows with the same id get
-    the same number of copies (the mean of theirs).
+    A document of size 0 weighs nothing and is kept once.  Rows with the same id get the
+    same number of copies (the mean of theirs, rounded).  All columns of ``docs`` stay,
+    whatever their names; without rows there are none.
     """
-    copies = mixed.groupBy("doc_id").agg(
-        F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size"))).otherwise(F.lit(1)).cast("int").alias("loom_copies")
-    )
-    kept = docs.join(copies.filter("loom_copies > 0").withColumnRenamed("doc_id", "loom_id"), F.col("doc_id").eqNullSafe(F.col("loom_id")))
-    return kept.withColumn("loom_copy", F.explode(F.sequence(F.lit(1), F.col("loom_copies")))).select(*[docs[c] for c in docs.columns])
+    own, times, copy = (fresh(docs, c) for c in ("loom_id", "loom_copies", "loom_copy"))
+    copies = mixed.groupBy("doc_id").agg(F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size"))).otherwise(F.lit(1)).cast("int").alias(times))
+    kept = docs.join(copies.filter(F.col(times) > 0).withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own)))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])

@@ -12,12 +12,14 @@ one family of near copies have the same centre, and the lists of a centre make o
 Two sets that are alike share a list and so a group.  No pairs are made: groups are compared
 in cells of bounded size (``cells``), in two rounds.
 
-1. The centre of each group meets its members.  This joins large families of near copies.
+1. The centre of each group meets the members that share ``MEET`` of its lists.  This joins
+   large families of near copies.
 2. Groups whose members are all in one component are done.  In the others each member
-   outside the largest component meets all members of another component.
+   outside the largest component meets all members of another component; a cell first
+   holds the lists that its members are in, and those go on that share ``MEET`` with another.
 
-In both rounds the cells first hold sketches: the union sketch estimates each meeting's
-similarity, and only members with a likely partner go on.  Then the cells hold whole sets
+In both rounds cells then hold sketches: the union sketch estimates each meeting's
+similarity, and only members with a likely partner go on.  Last the cells hold whole sets
 and exact Jaccard confirms; out come the links that connect what is alike.  Equal sets are
 one set throughout; their documents are joined to it at the end.
 
@@ -46,6 +48,8 @@ from .components import components
 K = 80
 #: Lists in which a pair must meet.
 MEET = 4
+#: Rounds of closing lists; the result does not depend on it.
+PRUNE = 2
 #: Chance that a pair shares fewer retained values than it must.
 RISK = 1e-9
 
@@ -128,19 +132,24 @@ def meetings_needed(num: int, den: int) -> int:
     return max(1, min(MEET, ceil(smallest * num / den), least_shared(num / den)))
 
 
-def groups(lists: DataFrame) -> DataFrame:
-    """c, nid, label: the members of all lists (v, nid, label) that have the same centre."""
+def centred(lists: DataFrame) -> DataFrame:
+    """``lists`` (v, nid) with ``c``, the centre of each list."""
     often = lists.join(lists.groupBy("nid").agg(F.count(F.lit(1)).alias("often")), "nid")
     centre = often.groupBy("v").agg(F.max(F.struct("often", "nid")).alias("o")).select("v", F.col("o.nid").alias("c"))
-    return lists.join(centre, "v").select("c", "nid", "label").distinct()
+    return lists.join(centre, "v")
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """v, nid, label: members of lists that hold several components, if in ``least`` of them."""
+    """v, nid, label: members of lists that hold several components, if in ``least`` of them.
+
+    Lists that this leaves with one component are closed in turn, ``PRUNE`` times.
+    """
     named = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("v", "nid", F.coalesce("label", "nid").alias("label"))
-    several = named.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("v")
-    open_ = named.join(several, "v")
-    return open_.join(open_.groupBy("nid").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least).select("nid"), "nid")
+    for _ in range(PRUNE):
+        several = named.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("v")
+        open_ = named.join(several, "v")
+        named = materialise(open_.join(open_.groupBy("nid").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least).select("nid"), "nid"))
+    return named
 
 
 def outsiders(found: DataFrame) -> DataFrame:
@@ -156,23 +165,35 @@ class _Comparison:
     def __init__(self, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int, lower: bool):
         self.docs, self.reps, self.width, self.num, self.den, self.lower = docs, reps, width, num, den, lower
 
+    def sized(self, found: DataFrame) -> DataFrame:
+        return materialise(found.join(self.reps.select("nid", "n"), "nid").select("c", "nid", "label", "n", "ask"))
+
+    def sharing(self, found: DataFrame, lists: DataFrame, need: int) -> DataFrame:
+        """Members of ``found`` that share ``need`` of ``lists`` with one of another label."""
+        num, den = self.num, self.den
+        of = lists.groupBy("nid").agg(F.sort_array(F.collect_list("v")).alias("els"))
+        dealt = cells.deal(self.sized(found), of, F.lit(K))
+        return materialise(dealt.mapInArrow(cells.filtered(lambda s: cells.meeting_rows(s, need, num, den)), _MEMBER).distinct())
+
     def links(self, found: DataFrame) -> DataFrame:
-        """a, b: what is alike in ``found`` (c, nid, label, ask), as a written table."""
+        """a, b: what is alike in ``found`` (c, nid, label, n, ask), as a written table."""
         with scratch():
             return materialise(self._links(found), keep=True)
 
     def _links(self, found: DataFrame) -> DataFrame:
         num, den = self.num, self.den
-        sized = materialise(found.join(self.reps.select("nid", "n"), "nid"))
-        sketches = self.reps.select("nid", F.col("sk").alias("els"))
-        dealt = cells.deal(sized, sketches, F.least(F.col("n"), F.lit(K)))
-        kinds = "c long, nid long, label long, n int, ask boolean"
-        left = materialise(dealt.mapInArrow(cells.partners(K, least_shared(num / den), num, den), kinds).distinct())
+        least = least_shared(num / den)
+        sketches = self.reps.join(found.select("nid").distinct(), "nid", "left_semi").select("nid", F.col("sk").alias("els"))
+        dealt = cells.deal(found, sketches, F.least(F.col("n"), F.lit(K)))
+        left = materialise(dealt.mapInArrow(cells.filtered(lambda s: cells.overlap_rows(s, K, least, num, den)), _MEMBER).distinct())
         wanted = self.reps.join(left.select("nid").distinct(), "nid", "left_semi").select("nid", F.col("id").alias("doc_id"))
         sets = materialise(whole_sets(self.docs, materialise(wanted), self.width, self.lower))
         return cells.deal(left, sets, F.col("n")).mapInArrow(cells.links(num, den), "a long, b long").distinct()
 
 
+_MEMBER = "c long, nid long, label long, n int, ask boolean"
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``, as a written table."""
     with scratch():
@@ -184,10 +205,13 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, lower: bool) -> Dat
     reps = materialise(rows.filter("n > 0").groupBy("nid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     lists = materialise(prefix_lists(reps, num, den))
     compare = _Comparison(docs, reps, width, num, den, lower)
-    near = groups(lists.withColumn("label", F.col("nid"))).withColumn("ask", F.col("nid") == F.col("c"))
-    edges = compare.links(near)
-    left = materialise(open_lists(lists, components(edges), meetings_needed(num, den)))
-    edges = edges.unionByName(compare.links(outsiders(materialise(groups(left)))))
+    need = meetings_needed(num, den)
+    near = centred(lists).groupBy("c", "nid").agg(F.count(F.lit(1)).alias("times")).filter((F.col("times") >= need) | (F.col("c") == F.col("nid")))
+    edges = compare.links(compare.sized(near.select("c", "nid", F.col("nid").alias("label"), (F.col("nid") == F.col("c")).alias("ask"))))
+    left = open_lists(lists, components(edges), need)
+    found = outsiders(materialise(centred(left).select("c", "nid", "label").distinct()))
+    found = outsiders(compare.sharing(found, left, need).select("c", "nid", "label"))
+    edges = edges.unionByName(compare.links(compare.sized(found)))
     labels = components(edges)
     named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "id", F.coalesce("label", "nid").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))

@@ -4,11 +4,14 @@ A document's hashed word vector is projected to ``DIMS`` signed sums, each broug
 ``BITS`` bits, and placed on a Hilbert curve.  Rows are dealt into ranges of the curve
 (ties broken by a hash of the id, so that equal texts spread over ranges), sorted, and
 their tokens laid end to end into sequences of ``seq_len``.  What is left at the end of
-a range becomes sequences of power-of-two lengths, which need no padding.
+a range becomes sequences of power-of-two lengths, which need no padding.  Ranges hold
+about ``RANGE`` bytes of text; they follow from the documents alone, so that pieces do not
+depend on how rows are partitioned.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are packed one
-after another; an empty table gives no rows.  Token ids are those of the tokenizer file,
-whose added tokens are found inside text, as ``tokenizers`` does.
+after another; texts of any length are whole; an empty table gives no rows; further columns
+are not looked at.  Token ids are those of the tokenizer file, whose added tokens are found
+inside text, as ``tokenizers`` does.
 """
 
 from __future__ import annotations
@@ -22,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column_bytes, mix, word_hashes
-from .ordering import n_parts, range_bounds
+from .common import blocks, column_bytes, materialise, mix, sent, word_hashes
 
 DIMS, BITS, TIE_BITS = 4, 8, 20
 SEQ_LEN = 1024
-#: Every this-many-th id (by hash) is looked at to choose the ranges; balance alone depends on it.
+#: Every this-many-th id (by hash) is looked at to choose the ranges.
 SAMPLE = 8
-#: Bytes of text for which a document counts once more when the ranges are chosen.
-WEIGHT = 2048
+#: Bytes of text of a range, about; take more for a corpus of many terabytes.
+RANGE = 1 << 25
+#: Bits of a position by which ranges are told apart at each look.
+LOOK = 13
 
 
 def project(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -101,8 +105,8 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def tokenised(docs: DataFrame, path: str, bounds: list[float]) -> DataFrame:
-    cuts = np.asarray(bounds, np.float64)
+def tokenised(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
+    cuts = np.asarray(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -159,17 +163,45 @@ def lay_out(docs: Iterator[tuple[int, np.ndarray]], base: int, seq_len: int = SE
         open_, filled, number = rest, filled - length, number + 1
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
-    parts = n_parts(docs)
+def range_cuts(docs: DataFrame, size: int) -> list[int]:
+    """Positions that part the documents into ranges of about ``size`` bytes of text.
+
+    From sums of text over equal parts of the curve, of which those that hold more than a
+    range are parted again, level by level; at most ``2**LOOK`` sums for each such part
+    reach the driver.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.diff(column_bytes(b.column("text"))[1])  # ranges are to hold like amounts of text
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(curve_positions(b), 1 + size // WEIGHT))], ["pos"])
+            text = np.diff(column_bytes(b.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([pa.array(curve_positions(b)), pa.array((text + 1) * SAMPLE)], ["pos", "size"])
 
     looked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    bounds = range_bounds(looked.mapInArrow(place, "pos long"), "pos", parts)
+    looked = materialise(looked.mapInArrow(place, "pos long, size long"))
+    sums: dict[int, int] = {}
+    heavy, shift = [0], DIMS * BITS + TIE_BITS
+    while heavy and shift > 0:
+        shift -= LOOK
+        parent = F.shiftright("pos", shift + LOOK)
+        here = looked if shift + LOOK == DIMS * BITS + TIE_BITS else looked.join(sent(looked.sparkSession.createDataFrame([(h,) for h in heavy], "h long")), parent == F.col("h"), "left_semi")
+        found = {r.part << shift: r.size for r in here.groupBy(F.shiftright("pos", shift).alias("part")).agg(F.sum("size").alias("size")).collect()}
+        for h in heavy:
+            sums.pop(h << (shift + LOOK), None)
+        sums |= found
+        heavy = [at >> shift for at, n in found.items() if n > size]
+    cuts, held = [], 0
+    for at in sorted(sums):
+        if held and held + sums[at] > size:
+            cuts.append(at)
+            held = 0
+        held += sums[at]
+    return cuts
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, size: int = RANGE) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
+    bounds = range_cuts(docs, size)
+    parts = len(bounds) + 1
     dealt = tokenised(docs, tokenizer_path, bounds).repartitionById(parts, F.col("part")).sortWithinPartitions("pos", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,15 @@ Each is scaled by its class log-count ratio; a linear hinge-loss model over the
 indicators, brought to unit length, is fitted by dual coordinate descent, drawn towards
 its mean weight, and its margin is turned into a probability on a held-out fifth.
 
+The sample takes the labels whose hash of the id is below a threshold that lets through
+``SAMPLE_ROWS`` on average (all if there are fewer); if their texts have more than
+``SAMPLE_BYTES`` the threshold is lowered in proportion.
+
 Edge cases: null and empty texts have no features and get the score of a zero margin;
 with one class or none in the sample the score is that class's share (0.5 without
-rows); a label counts once for each row of its document.
+rows or labels); of an id with several labels the greatest counts; a label counts once for
+each text of its id; texts of any length are whole; repeated rows are each scored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _M, blocks, column_bytes, learnable, list_bytes, mix, word_hashes
+from .common import _M, blocks, bounded_sample, column_bytes, learnable, list_bytes, materialise, mix, sent, stable_fraction, word_hashes
 
 BITS = 18
-#: Bound on the labelled rows that are learned from: those with the smallest hashes of their ids.
-SAMPLE_ROWS = 4000
+#: Bounds on what is learned from: labelled rows, on average, and bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 26
 
 
 def indicators(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +139,13 @@ def fit_sigmoid(margin: np.ndarray, good: np.ndarray, steps: int = 200) -> tuple
     return float(a), float(b)
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """At most ``rows`` labels (fewer by as many as lack a document) with their texts."""
-    marks = labels.filter(learnable() & F.col(label).isNotNull()).select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("q_"))
-    marks = marks.withColumn("h_", F.xxhash64(F.lit(4), "id_")).orderBy("h_", "id_", "q_").limit(rows).dropDuplicates(["id_"])
-    chosen = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("id_")).select("text", "q_").limit(2 * rows)
-    return [(r.text, r.q_) for r in chosen.collect()]
+def learning_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """About ``rows`` labels, chosen by hash, with their documents' texts."""
+    marks = labels.filter(learnable() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("id_"), F.col(label).cast("int").alias("q_"))
+    share = rows / max(marks.count(), 1)
+    marks = marks.withColumn("u", stable_fraction(F.lit(4), F.col("id_")) / min(share, 1.0)).filter("u < 1").groupBy("id_").agg(F.max("q_").alias("q_"), F.first("u").alias("u"))
+    chosen = docs.select("doc_id", "text").join(sent(materialise(marks)), F.col("doc_id") == F.col("id_"))
+    return bounded_sample(chosen.select("doc_id", "text", "q_", "u"), size)
 
 
 def score_documents(docs: DataFrame, model: Model, accept: float = 0.7) -> DataFrame:

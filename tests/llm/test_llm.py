@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from loomspark.llm import cells, chat, fingerprints, html_text, langid, mixing, near_dedup, packing, perplexity, quality, suffix_dedup
 from loomspark.llm.components import components
+from loomspark.llm.common import list_bytes
 from loomspark.llm.suffix_array import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -133,24 +134,34 @@ def brute_kneser_ney(texts):
 
 
 def test_model_equals_definition(spark):
+    """Each text by the model of the other fold, n-grams that this one lacks included; any number of shards."""
     random.seed(3)
-    texts = ["".join(random.choice("abcde ") for _ in range(random.randint(5, 60))) for _ in range(60)]
-    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    texts = ["".join(random.choice("abcde ") for _ in range(random.randint(5, 60))) for _ in range(60)] + ["zz abc qq"]
+    docs = perplexity.folds(documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), 2)
+    part = {r.doc_id: r.fold for r in docs.collect()}
+    assert set(part.values()) == {0, 1}
     model = perplexity.train(docs)
-    p = brute_kneser_ney(texts)
-    want = {i: sum(math.log(p((bytes(4) + t.encode())[k : k + 5])) for k in range(len(t))) for i, t in enumerate(texts)}
-    for r in perplexity.score(docs, model).collect():
-        assert abs(r.logp - want[r.doc_id]) < 1e-3
-    keep = perplexity.MAX_ENTRIES
-    perplexity.MAX_ENTRIES = 1  # the model as a table
-    try:
-        for r in perplexity.score(docs, model).collect():
+    p = [brute_kneser_ney([t for i, t in enumerate(texts) if part[i] == f]) for f in (0, 1)]
+    want = {i: sum(math.log(p[1 - part[i]]((bytes(4) + t.encode())[k : k + 5])) for k in range(len(t))) for i, t in enumerate(texts)}
+    for most in (None, 200):
+        got = perplexity.score(docs, model, most).collect()
+        assert len(got) == len(texts)
+        for r in got:
             assert abs(r.logp - want[r.doc_id]) < 1e-3
-    finally:
-        perplexity.MAX_ENTRIES = keep
-    new = documents(spark, [(0, "zz abc qq", "en", "s", 0)])  # n-grams that are not in the model
-    got = perplexity.score(new, model).first().logp
-    assert abs(got - sum(math.log(p((bytes(4) + b"zz abc qq")[k : k + 5])) for k in range(9))) < 1e-3
+    assert len(perplexity.shard_ranges(model, 200)) > 3
+
+
+def test_both_bands_reject(spark):
+    """Planted: texts of one phrase over and over (in windows that differ) and of random letters."""
+    random.seed(4)
+    words = ["".join(random.choice("aeioulnrst") for _ in range(random.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(random.choice(words) for _ in range(80)), "en", "s", 0) for i in range(300)]
+    noise = [(1000 + i, " ".join("".join(random.choice("zxqjkvw#0123456789") for _ in range(6)) for _ in range(80)), "en", "s", 0) for i in range(5)]
+    dull = [(2000 + i, " ".join(f"{words[0]} {words[1]} {words[2]} {words[0]}{words[1][:k % 2]}" for k in range(30)) + f" {i}", "en", "s", 0) for i in range(5)]
+    got = {r.doc_id: r for r in perplexity.perplexity_rules(documents(spark, rows + noise + dull)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not any(got[1000 + i].kept for i in range(5)) and all(got[1000 + i].perplexity > got[0].upper_band for i in range(5))
+    assert all(got[2000 + i].perplexity < got[0].lower_band for i in range(5))
 
 
 # --- 2 ---
