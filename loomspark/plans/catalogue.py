@@ -46,7 +46,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("keywords", T.keywords(F.col("question"))).withColumn("want_fy", F.when(F.col("query_id") % 2 == 0, F.lit(WANT_FY)))
 
 
-def _out(results: DataFrame, places: int = 6) -> DataFrame:
+def _out(results: DataFrame, places: int = 5) -> DataFrame:
     return results.select("query_id", "rank", F.round("score", places).alias("score"), "index", "chunk_id")
 
 
@@ -102,7 +102,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bm25_scores(corpus(spark, sf_dir).lexical, D.questions(spark, sf_dir))
-    return s.select("query_id", "index", F.round("score", 6).alias("score"))
+    return s.select("query_id", "index", F.round("score", 5).alias("score"))
 
 
 def _filtered(q: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def query(last: str, *ctes: str) -> str:
     return "WITH " + ",\n".join((BASE, *ctes)) + "\n" + last
 
 
-def out(name: str, places: int = 6) -> str:
+def out(name: str, places: int = 5) -> str:
     return f"SELECT query_id, rank, round(score, {places}) AS score, index, chunk_id FROM {name}"
 
 
@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
     "resume_todo": query("SELECT chunk_id FROM chunks WHERE chunk_type IN ('narrative', 'table') AND chunk_id NOT IN (SELECT chunk_id FROM manifest WHERE embedding IS NOT NULL)"),
     "index_per_type": query("SELECT chunk_id, chunk_type, index, row_number() OVER (PARTITION BY chunk_type ORDER BY index) - 1 AS local_index, page, CAST(length(embed_text) AS INT) AS embed_chars, table_title FROM manifest"),
     "bm25_stats": query("SELECT term, df, round(idf, 6) AS idf FROM terms"),
-    "bm25_scores": query("SELECT query_id, index, round(score, 6) AS score FROM s", scores("s")),
+    "bm25_scores": query("SELECT query_id, index, round(score, 5) AS score FROM s", scores("s")),
     "bm25_topk": query(out("r"), bm25("r", 10)),
     "bm25_topk_filtered": query(out("r"), bm25("r", 10, ON_FILTER)),
     "dense_topk": query(out("r", 5), dense("r", 10)),
@@ -148,7 +148,7 @@ ORACLES: dict[str, str] = {
     "rrf_nested": query(out("r"), dense("d", 20), bm25("b", 20), dense("h", 20, vec="hvec"), fused("f", "d", "b"), fused("r", "f", "h")),
     "hybrid_topk": query(out("r"), *FIVE),
     "multi_query_merge": query(
-        "SELECT query_id, rank, round(score, 6) AS score, index, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, was) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY variant, was) AS k FROM (SELECT query_id, 0 AS variant, rank AS was, score, index, chunk_id FROM r UNION ALL SELECT query_id, 1, rank, score, index, chunk_id FROM v)) WHERE k = 1) WHERE rank <= 5",
+        "SELECT query_id, rank, round(score, 5) AS score, index, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, was) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY variant, was) AS k FROM (SELECT query_id, 0 AS variant, rank AS was, score, index, chunk_id FROM r UNION ALL SELECT query_id, 1, rank, score, index, chunk_id FROM v)) WHERE k = 1) WHERE rank <= 5",
         *FIVE,
         f"other AS (SELECT item_id AS query_id, {KEYWORDS.format('text')} AS question, e.embedding AS qvec FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id + 1)",
         *hybrid("v", 5, "other"),
@@ -157,7 +157,7 @@ ORACLES: dict[str, str] = {
     "edge_reorder": query(out("k"), *FIVE, reordered("k", "r")),
     "hyde_pipeline": query(out("y"), *hyde("y", 5)),
     "stage3_pipeline": query(
-        f"SELECT query_id, rank, round(score, 6) AS score, index, concat_ws(' ', z.chunk_id, (SELECT string_agg(o.chunk_id, ' ' ORDER BY o.ord) FROM paged o JOIN paged c ON c.chunk_id = z.chunk_id AND o.fiscal_year = c.fiscal_year AND o.page = c.page AND o.chunk_id <> c.chunk_id)) AS chunk_id FROM z",
+        f"SELECT query_id, rank, round(score, 5) AS score, index, concat_ws(' ', z.chunk_id, (SELECT string_agg(o.chunk_id, ' ' ORDER BY o.ord) FROM paged o JOIN paged c ON c.chunk_id = z.chunk_id AND o.fiscal_year = c.fiscal_year AND o.page = c.page AND o.chunk_id <> c.chunk_id)) AS chunk_id FROM z",
         f"paged AS (SELECT chunk_id, ord, fiscal_year, {PAGE} AS page FROM chunks)",
         *hyde("y", 50, ON_YEAR),
         bm25("w", 50, ON_YEAR, "keywords"),
@@ -168,11 +168,11 @@ ORACLES: dict[str, str] = {
         deduplicated("z", "z2", 10),
     ),
     "listwise_rerank_apply": query(
-        "SELECT query_id, CASE WHEN query_id % 3 = 0 THEN rank ELSE place END AS rank, round(CASE WHEN query_id % 3 = 0 THEN score WHEN rank IN (1, 3) THEN n - place + 1 ELSE 0 END, 6) AS score, index, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE rank WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, rank) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM r)",
+        "SELECT query_id, CASE WHEN query_id % 3 = 0 THEN rank ELSE place END AS rank, round(CASE WHEN query_id % 3 = 0 THEN score WHEN rank IN (1, 3) THEN n - place + 1 ELSE 0 END, 5) AS score, index, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE rank WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, rank) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM r)",
         *FIVE,
     ),
     "rerank_pairs": query(
-        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank, round(s, 6) AS score, index, chunk_id FROM p",
+        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank, round(s, 5) AS score, index, chunk_id FROM p",
         *hybrid("r", 10),
         f"p0 AS (SELECT r.*, question, trim(concat_ws(chr(10), nullif(coalesce(section_breadcrumb, ''), ''), left({BODY}, 2000))) AS doc FROM r JOIN chunks USING (chunk_id) JOIN questions USING (query_id))",
         f"p AS (SELECT *, {OVERLAP} AS s FROM p0)",
