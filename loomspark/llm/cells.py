@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import mix
 
 #: Elements of the sets of one part, and of the cells that are looked at together.
-BLOCK, TOGETHER = 1 << 14, 1 << 17
+BLOCK, TOGETHER = 1 << 16, 1 << 17
 #: Meetings of elements that are counted together, and entries of a table of counts.
 STEP = 1 << 20
 

@@ -99,6 +99,14 @@ def in_set(df: DataFrame, col: str, bits: np.ndarray, inside: bool = True) -> Da
     return df.filter(has(known) if inside else ~has(known))
 
 
+def only(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is in ``names`` (each once), few of which are shuffled."""
+    names = materialise(names)
+    if names.count() <= SENT_ROWS:
+        return df.join(F.broadcast(names), col, "left_semi")
+    return in_set(df, col, bit_set(names, col)).join(names, col, "left_semi")
+
+
 # --- bytes of Arrow string columns -------------------------------------------------
 
 WORD_BREAK = np.zeros(256, bool)

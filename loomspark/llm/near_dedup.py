@@ -2,7 +2,7 @@
 
 Each distinct shingle set keeps the ``K`` smallest of its 64-bit shingle hashes.  Sets of
 similarity num/den share at least ``least_shared`` of these but for a chance below ``RISK``
-a pair (at 0.8, 39 of 80).  Inverted lists of retained values generate the overlaps.  By
+a pair (at 0.8, 79 of 128).  Inverted lists of retained values generate the overlaps.  By
 the prefix principle two such sets meet in ``MEET`` lists or more even if a set enters only
 the lists of its K - least + MEET rarest values, so values that many documents share link
 nothing by themselves.  Small sets are whole in their sketch and get the exact prefix.
@@ -42,16 +42,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import cells
-from .common import bit_set, blocks, column_bytes, fresh, in_set, materialise, scratch, shingles, word_hashes
+from .common import blocks, column_bytes, fresh, materialise, only, scratch, shingles, word_hashes
 from .components import components
 
-K = 80
+K = 128
 #: Lists in which a pair must meet.
 MEET = 4
 #: Rounds of closing lists; the result does not depend on it.
 PRUNE = 2
 #: Chance that a pair shares fewer retained values than it must.
-RISK = 1e-9
+RISK = 1e-7
 
 
 def least_shared(share: float, k: int = K, risk: float = RISK) -> int:
@@ -104,7 +104,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, lower: bool) -> D
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], ["nid", "els"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = in_set(rows, "doc_id", bit_set(wanted, "doc_id")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = only(rows, wanted.select("doc_id").distinct(), "doc_id")
     sets = rows.select("text").mapInArrow(run, "nid long, els array<long>")
     # An id that stands in several rows may bring sets that nobody wants, or one set twice.
     return sets.join(wanted.select("nid"), "nid", "left_semi").dropDuplicates(["nid"])
@@ -119,11 +119,12 @@ def prefix_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
     exact = F.ceil(F.col("n") * num / den)
     least = F.when(F.col("n") * den < K * num, exact).otherwise(F.lit(least_shared(num / den))).cast("short")
     each = reps.filter(F.col("n") * (den - num) >= num).select("nid", least.alias("least"), F.explode("sk").alias("v"))
-    shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # A value is in a set once: no value has more than a K-th of these rows.
+    each = each.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("v"))).filter("df > 1")
     w = W.partitionBy("nid")
     # Values of one set alone are the rarest and fill the prefix first: K - least + MEET less their number.
     room = F.count(F.lit(1)).over(w) - F.col("least") + F.least(F.lit(MEET), F.col("least"))
-    return each.join(shared, "v").select("v", "nid", room.alias("room"), F.row_number().over(w.orderBy("df", "v")).alias("rank")).filter("rank <= room").select("v", "nid")
+    return each.select("v", "nid", room.alias("room"), F.row_number().over(w.orderBy("df", "v")).alias("rank")).filter("rank <= room").select("v", "nid")
 
 
 def meetings_needed(num: int, den: int) -> int:
@@ -183,10 +184,10 @@ class _Comparison:
     def _links(self, found: DataFrame) -> DataFrame:
         num, den = self.num, self.den
         least = least_shared(num / den)
-        sketches = self.reps.join(found.select("nid").distinct(), "nid", "left_semi").select("nid", F.col("sk").alias("els"))
+        sketches = only(self.reps, found.select("nid").distinct(), "nid").select("nid", F.col("sk").alias("els"))
         dealt = cells.deal(found, sketches, F.least(F.col("n"), F.lit(K)))
         left = materialise(dealt.mapInArrow(cells.filtered(lambda s: cells.overlap_rows(s, K, least, num, den)), _MEMBER).distinct())
-        wanted = self.reps.join(left.select("nid").distinct(), "nid", "left_semi").select("nid", F.col("id").alias("doc_id"))
+        wanted = only(self.reps.select("nid", "id"), left.select("nid").distinct(), "nid").select("nid", F.col("id").alias("doc_id"))
         sets = materialise(whole_sets(self.docs, materialise(wanted), self.width, self.lower))
         return cells.deal(left, sets, F.col("n")).mapInArrow(cells.links(num, den), "a long, b long").distinct()
 

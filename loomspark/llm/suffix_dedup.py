@@ -25,10 +25,11 @@ Counts are keyed by 64-bit hashes within 64-bit anchor hashes.
 
 Edge cases: null text is empty; a text shorter than LENGTH keeps all; repeated rows are
 copies of each other and so are removed whole; repeated ids are told apart by text; an
-empty table gives no rows.  Texts may have up to 2**28 bytes.
+empty table gives no rows; further columns, whatever their names, are not looked at.
+Texts may have fewer than 2**28 bytes; a longer one is an error.
 
 Passages can also be measured in words (``remove_repeats``): the text is then the 64-bit
-hashes of its words one after another, of which there may be 2**25.
+hashes of its words one after another, of which there may be fewer than 2**25.
 """
 
 from __future__ import annotations
@@ -58,8 +59,9 @@ _POS = np.uint64((1 << 28) - 1)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """All columns and ``loom_rid``: a name for (id, text)."""
-    return docs.withColumn("loom_rid", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    """doc_id, text (null: empty), ``loom_rid``, a name for (id, text), and ``row``, all columns as they are."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("loom_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def word_stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +89,8 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tu
     Positions are those in ``buf``.
     """
     none = np.zeros(0, np.int64)
+    if len(buf) > int(_POS):
+        raise ValueError("a text of 2**28 bytes or more")
     if len(buf) < length:
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     sums = prefix_sums(buf)
@@ -364,7 +368,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
-    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = keyed(docs.select("doc_id", "text")).drop("row")
     some, none = with_spans(rows, repeated_spans(rows, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +408,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = No
     few bytes those have and whatever blanks part them; both are judged on the input.
     """
     rows = keyed(docs)
-    known = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    known = rows.drop("row")
     spans = repeated_spans(known, length)
     if words is not None:
         worded = repeated_spans(known, words * WORD, True).withColumnsRenamed({"s": "ws", "e": "we"})
@@ -434,7 +438,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = No
             out.append(b"".join(parts).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    cut = some.withColumn("text", left("text", "loom_s", "loom_e", "loom_ws", "loom_we"))
+    cut = some.withColumn("text", left("row.text", "loom_s", "loom_e", "loom_ws", "loom_we"))
+    new = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns).unionByName(none.select(*docs.columns))
+        new = new.withField("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return cut.select(new.alias("row")).select("row.*").unionByName(none.select("row.*"))
