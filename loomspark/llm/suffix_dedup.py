@@ -394,10 +394,19 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def word_cuts(raw: bytes, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """Byte spans from the first to the last word of each run that spans of a word stream cover."""
+    """Byte spans from the first to the last word of each run that spans of a word stream cover.
+
+    Spans that only touch are two runs: no repeated run holds what stands between them.
+    """
     first, last, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    runs = [(-(-x // WORD), y // WORD) for x, y in cut_spans(WORD * len(first), starts, ends)]
-    return [(int(first[i]), int(last[j - 1])) for i, j in runs if i < j]
+    runs: list[list[int]] = []
+    for s, e in sorted(zip(starts, ends)):
+        if runs and s < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    words = [(-(-s // WORD), e // WORD) for s, e in runs]
+    return [(int(first[i]), int(last[j - 1])) for i, j in words if i < j]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:

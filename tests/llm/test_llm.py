@@ -277,16 +277,16 @@ def slow_word_removal(texts, length, words):
 
     spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
     said = [[t[a:b] for a, b in own] for t, own in zip(texts, spans)]
-    at = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    runs = Counter(tuple(w[i : i + words]) for w in said for i in range(len(w) - words + 1))
+    at = Counter(hash(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
+    runs = Counter(hash(tuple(w[i : i + words])) for w in said for i in range(len(w) - words + 1))
     out = []
     for t, own, w in zip(texts, spans, said):
         cut = [False] * len(t)
         for i in range(len(t) - length + 1):
-            if at[t[i : i + length]] > 1:
+            if at[hash(t[i : i + length])] > 1:
                 cut[i : i + length] = [True] * length
         for i in range(len(w) - words + 1):
-            if runs[tuple(w[i : i + words])] > 1:
+            if runs[hash(tuple(w[i : i + words]))] > 1:
                 a, b = own[i][0], own[i + words - 1][1]
                 cut[a:b] = [True] * (b - a)
         out.append(bytes(b for b, c in zip(t, cut) if not c))
@@ -560,22 +560,135 @@ def test_sources_without_a_sample_have_no_edge(spark):
 # --- pipeline ---
 
 
+def slow_groups(texts, width):
+    """The first text of the group of each, by comparing all sets that share a shingle of their rarest fifth."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    df = Counter(x for s in sets for x in s)
+    at, lists = list(range(len(texts))), defaultdict(list)
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for x in sorted(s, key=lambda x: (df[x], x))[: len(s) - math.ceil(0.8 * len(s)) + 1]:
+            for j in lists[x]:
+                n = len(s & sets[j])
+                if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                    p, q = sorted((find(i), find(j)))
+                    at[q] = p
+            lists[x].append(i)
+    return [find(i) for i in range(len(texts))]
+
+
 def test_pipeline_stages(spark):
+    """Every stage on what the one before kept, against brute force."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
     from loomspark.llm.common import materialise, table
 
     docs = table(spark, SF, "documents")
-    seen = []
+    rows, seen = {}, {}
     for name, stage in corpus_pipeline.STAGES:
-        out = materialise(stage(spark, docs, SF))
+        before = docs.orderBy("doc_id").collect()
+        docs, columns = materialise(stage(spark, docs, SF)), docs.columns
         if name != "curve_packing":
-            assert out.columns == docs.columns
-        seen.append((name, out.count()))
-        if name == "minhash_near_dedup":
-            ids = {r.doc_id for r in out.select("doc_id").collect()}
-            groups = near_dedup.near_duplicates(docs).collect()
-            assert ids == {r.doc_id for r in groups if r.kept}
-        if name == "source_mixing":
-            assert set(r.doc_id for r in out.select("doc_id").collect()) <= ids
-        docs = out
-    assert all(n > 0 for _, n in seen) and seen[0][1] < 1000 and seen[1][1] < seen[0][1] == seen[0][1]
+            assert docs.columns == columns
+        after = docs.orderBy("doc_id").collect() if name != "curve_packing" else docs.collect()
+        rows[name], seen[name] = before, after
+    # 1. Those that score enough, all else as it was.
+    model = quality.train(quality.learning_sample(table(spark, SF, "documents"), table(spark, SF, "labels")))
+    good = [r for r in rows["quality_classifier"] if slow_score(model, r.text) >= corpus_pipeline.LEAST_QUALITY]
+    assert seen["quality_classifier"] == good and 0 < len(good) < len(rows["quality_classifier"])
+    # 2. The first of each group.
+    before = rows["minhash_near_dedup"]
+    first = slow_groups([r.text for r in before], 5)
+    assert seen["minhash_near_dedup"] == [r for i, r in enumerate(before) if first[i] == i]
+    # 3. No byte of a repeated passage.
+    before = rows["suffix_array_dedup"]
+    left = [t.decode() for t in slow_word_removal([(r.text or "").encode() for r in before], 400, 51)]
+    assert [r.text or "" for r in seen["suffix_array_dedup"]] == left and any(len(t) < len(r.text or "") for t, r in zip(left, before))
+    # 4. Whole copies, the rows as they were.
+    before = {r.doc_id: r for r in rows["source_mixing"]}
+    copies, words = Counter(r.doc_id for r in seen["source_mixing"]), Counter()
+    assert set(seen["source_mixing"]) <= set(before.values()) and max(copies.values()) <= 3
+    size = {i: len((r.text or "").split()) for i, r in before.items()}
+    sources = Counter()
+    for i, r in before.items():
+        sources[r.source] += size[i]
+        words[r.source] += copies[i] * size[i]
+    for source, target in slow_targets(dict(sources)).items():
+        assert abs(words[source] - target) <= max(5, 0.01 * target)
+    # 5. All tokens, once for each copy.
+    tok = Tokenizer.from_file(tokenizer())
+    ids = {i: [*tok.encode(r.text or "", add_special_tokens=False).ids, 0] for i, r in before.items()}
+    assert sum(r.length for r in seen["curve_packing"]) == sum(len(ids[i]) * n for i, n in copies.items())
+    for r in seen["curve_packing"]:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert zlib.crc32(np.array(piece, "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+
+
+def slow_score(model, text):
+    """Margin over the set of a text's indicators, one at a time."""
+    raw, offs = list_bytes([(text or "").encode()])
+    found = set(quality.indicators(raw, offs)[1].tolist())
+    length = math.sqrt(sum(model.scale[f] ** 2 for f in found))
+    margin = sum(model.scale[f] * model.weight[f] for f in found) / max(length, 1e-12) + model.bias
+    return 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+
+
+def slow_language(model, text):
+    """Mean of the rows of all n-grams of a text, looked up one at a time."""
+    raw, offs = list_bytes([text.encode()])
+    grams = [f for s in langid.SIZES for f in langid.features(raw, offs, s)[0]]
+    z = [(sum(model.table[k][f] for f in grams) / max(len(grams), 1) + model.bias[k]) / model.temperature for k in range(len(model.langs))]
+    e = [math.exp(x - max(z)) for x in z]
+    return model.langs[z.index(max(z))], max(e) / sum(e)
+
+
+def test_scores_equal_brute_force(spark):
+    """The queries op8 and op10: every document's columns against scores made one at a time."""
+    from loomspark.llm.common import table
+    from loomspark.llm.queries import QUERIES
+
+    docs = table(spark, SF, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    model = langid.train(langid.learning_sample(docs))
+    got = QUERIES["op8_langid"](spark, SF)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    for r in got.collect():
+        assert r.held_out == held[r.doc_id]
+        if any(c.isalpha() for c in texts[r.doc_id] or ""):
+            lang, p = slow_language(model, texts[r.doc_id])
+            assert r.lang_pred == lang and abs(r.score - p) < 1e-6
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    model = quality.train(quality.learning_sample(docs, table(spark, SF, "labels")))
+    got = QUERIES["op10_quality"](spark, SF)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    for r in got.collect():
+        assert r.held_out == held[r.doc_id] and abs(r.score - slow_score(model, texts[r.doc_id])) < 1e-6 and r.predicted == (r.score >= 0.7)
+
+
+def test_estimates_are_near_exact_likeness(spark):
+    """near_edited and near_next of op5 against exact Jaccard of five-word shingles."""
+    from loomspark.llm.common import table
+
+    rows = sorted((r.doc_id, r.text or "") for r in table(spark, SF, "documents").collect())[:300]
+    got = {r.doc_id: r for r in fingerprints.edited_pairs(documents(spark, [(i, t, None, None, 0) for i, t in rows])).collect()}
+
+    def likeness(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.encode().split(), b.encode().split()))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    off = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        off += [abs(got[i].near_edited - likeness(t, edited)), abs(got[i].near_next - likeness(t, after))]
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.02
