@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..sources.driver_tables import CHUNK_SQL
 from .catalogue import WANT_FY, WANT_TYPE
+from .models import NO_ANSWER
 
 TOKENS = "list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
 PAGE = "coalesce(nullif(page_number, 0), nullif(start_page, 0))"
@@ -41,8 +42,8 @@ def bm25(name: str, k: int, where: str = "true", text: str = "question", asked:
     return scores(f"{name}_s", text, asked) + ",\n" + best(name, every, k)
 
 
-def dense(name: str, k: int, where: str = "true", vec: str = "qvec", asked: str = "questions") -> str:
-    every = f"SELECT q.query_id, m.index, m.chunk_id, list_dot_product(CAST(q.{vec} AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS score FROM {asked} q JOIN manifest m ON {where} WHERE q.{vec} IS NOT NULL AND m.embedding IS NOT NULL"
+def dense(name: str, k: int, where: str = "true", vec: str = "qvec", asked: str = "questions", rows: str = "manifest") -> str:
+    every = f"SELECT q.query_id, m.index, m.chunk_id, list_dot_product(CAST(q.{vec} AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS score FROM {asked} q JOIN {rows} m ON {where} WHERE q.{vec} IS NOT NULL AND m.embedding IS NOT NULL"
     return best(name, every, k)
 
 
@@ -79,17 +80,17 @@ ON_FILTER = f"m.fiscal_year = '{WANT_FY}' AND m.chunk_type = '{WANT_TYPE}'"
 ON_YEAR = "(q.want_fy IS NULL OR m.fiscal_year = q.want_fy)"
 
 
-def hybrid(name: str, k: int, asked: str = "questions") -> tuple[str, ...]:
+def hybrid(name: str, k: int, asked: str = "questions", where: str = "true", rows: str = "manifest") -> tuple[str, ...]:
     pool = max(4 * k, 20)
-    return dense(f"{name}_d", pool, asked=asked), bm25(f"{name}_b", pool, asked=asked), fused(name, f"{name}_d", f"{name}_b", k)
+    return dense(f"{name}_d", pool, where, asked=asked, rows=rows), bm25(f"{name}_b", pool, where, asked=asked), fused(name, f"{name}_d", f"{name}_b", k)
 
 
-def hyde(name: str, k: int, where: str = "true") -> tuple[str, ...]:
+def hyde(name: str, k: int, where: str = "true", asked: str = "questions", rows: str = "manifest") -> tuple[str, ...]:
     pool = max(4 * k, 50)
     return (
-        dense(f"{name}_d", pool, where),
-        bm25(f"{name}_b", pool, where),
-        dense(f"{name}_h", pool, where, "hvec"),
+        dense(f"{name}_d", pool, where, asked=asked, rows=rows),
+        bm25(f"{name}_b", pool, where, asked=asked),
+        dense(f"{name}_h", pool, where, "hvec", asked, rows),
         fused(f"{name}_1", f"{name}_d", f"{name}_b"),
         fused(f"{name}_2", f"{name}_1", f"{name}_h"),
         deduplicated(f"{name}_3", f"{name}_2", k),
@@ -126,6 +127,79 @@ UNION ALL SELECT query_id, rank, 4, c.ord, c.chunk_id FROM own JOIN chunks c ON
 SAID = "concat(CASE turn % 6 WHEN 0 THEN ' yes, clearly' WHEN 1 THEN 'need more' WHEN 2 THEN 'Adjacent page' WHEN 3 THEN 'maybe' WHEN 4 THEN 'no: see the adjacent one' ELSE '' END, ' ', coalesce(text, ''))"
 NORMAL = f"upper(trim({SAID}))"
 
+# --- staged answers, with the stand-ins in place of models -------------------------------
+
+
+def hashed(text: str) -> str:
+    """The hashing stand-in's unit vector of a text."""
+    places = f"list_transform({TOKENS.format(text)}, lambda w: CAST('0x' || left(md5(w), 7) AS INT) % 64)"
+    return f"(SELECT list_transform(n, lambda c: CAST(c / greatest(sqrt(list_sum(list_transform(n, lambda x: x * x))), 1e-9) AS FLOAT)) FROM (SELECT list_transform(range(64), lambda i: len(list_filter(p, lambda x: x = i))) AS n FROM (SELECT {places} AS p)))"
+
+
+def shared(question: str, text: str) -> str:
+    """Share of the question's distinct tokens that the text has."""
+    q, t = (f"list_distinct({TOKENS.format(x)})" for x in (question, text))
+    return f"CASE WHEN len({q}) = 0 THEN 0 ELSE len(list_intersect({q}, {t})) / len({q}) END"
+
+
+def reranked(name: str, found: str, asked: str, k: int) -> tuple[str, ...]:
+    """Variants' rankings merged, each chunk once at its first place, then by the pair stand-in."""
+    return (
+        f"{name}_m AS (SELECT of AS query_id, row_number() OVER (PARTITION BY of ORDER BY variant, rank) AS was, index, chunk_id FROM (SELECT f.*, a.of, a.variant, row_number() OVER (PARTITION BY a.of, f.chunk_id ORDER BY a.variant, f.rank) AS n FROM {found} f JOIN {asked} a USING (query_id)) WHERE n = 1)",
+        f"{name}_s AS (SELECT query_id, was, index, chunk_id, {shared('question', 'doc')} AS score FROM (SELECT m.*, question, trim(concat_ws(chr(10), nullif(coalesce(section_breadcrumb, ''), ''), left({BODY}, 2000))) AS doc FROM {name}_m m JOIN chunks USING (chunk_id) JOIN requests USING (query_id)))",
+        best_of(name, f"{name}_s", k),
+    )
+
+
+def best_of(name: str, scored: str, k: int) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS rank, score, index, chunk_id FROM {scored}) WHERE rank <= {k})"
+
+
+def answered(name: str, results: str, radius: int) -> tuple[str, ...]:
+    """{name}_j: results with signals; {name}: one row for each question that has results."""
+    near_of = "true" if radius > 1 else "signal = 'NEED_ADJACENT'"
+    join = "concat(chr(10), chr(10), '---', chr(10), chr(10))"
+    return (
+        f"{name}_j AS (SELECT *, CASE WHEN o >= 0.5 THEN 'YES' WHEN o >= 0.3 THEN 'NEED_ADJACENT' ELSE 'NOT_FOUND' END AS signal FROM (SELECT *, {shared('question', 'body')} AS o FROM (SELECT r.*, question, m.chunk_type, m.fiscal_year, m.page, m.section_breadcrumb, m.table_title, {BODY} AS body FROM {results} r JOIN manifest m USING (index, chunk_id) JOIN requests USING (query_id))))",
+        f"{name}_r AS (SELECT query_id, rank, chunk_id, signal FROM {name}_j WHERE signal <> 'NOT_FOUND')",
+        f"{name}_f AS ({near(f'{name}_r', radius, near_of)} UNION ALL {page_tables(f'{name}_r')})",
+        f"{name}_b AS (SELECT query_id, rank, 0 AS part, 0 AS pos, concat('[', rank, '] ', {LABEL.format('')}body) AS block FROM {name}_j WHERE signal <> 'NOT_FOUND' UNION ALL SELECT query_id, rank, part, pos, concat('[', rank, '+adj] ', {LABEL.format('x.')}x.body) FROM {name}_f JOIN (SELECT chunk_id AS ctx_id, fiscal_year, {PAGE} AS page, section_breadcrumb, {BODY} AS body FROM chunks) x USING (ctx_id))",
+        f"{name}_c AS (SELECT query_id, string_agg(block, {join} ORDER BY rank, part, pos, block) AS context FROM {name}_b GROUP BY 1)",
+        f"{name}_w AS (SELECT query_id, left(string_agg(concat('[', rank, '] ', {LABEL.format('')}CASE WHEN length(body) <= 2000 THEN body ELSE left(body, 1500) END), concat(chr(10), chr(10)) ORDER BY rank), 4000) AS seen FROM {name}_j GROUP BY 1)",
+        f"{name}_a AS (SELECT q.*, CASE WHEN {shared('question', 'context')} >= 0.3 THEN trim('See ' || left(context, 80)) END AS said, seen FROM requests q LEFT JOIN {name}_c USING (query_id) LEFT JOIN {name}_w USING (query_id))",
+        f"{name} AS (SELECT query_id, question, power, coalesce(said, '{NO_ANSWER}') AS answer, said IS NULL AS abstained, CASE WHEN said IS NOT NULL THEN contains(coalesce(seen, ''), substr(said, 5, 80)) END AS faithful FROM {name}_a)",
+    )
+
+
+INSTRUCTED = "concat('Find passages of reports that answer the question.', chr(10), 'Question: ', {0})"
+ASKED = (
+    f"hmanifest AS MATERIALIZED (SELECT * REPLACE ({hashed('embed_text')} AS embedding) FROM manifest)",
+    "requests AS (SELECT item_id AS query_id, trim(coalesce(text, '')) AS question, item_id % 2 = 1 AS power, nullif(regexp_extract(text, '\\b(20\\d\\d-20\\d\\d)\\b', 1), '') AS want_fy FROM benchmark WHERE trim(coalesce(text, '')) <> '')",
+    "worded AS (SELECT query_id AS of, power, want_fy, unnest(l) AS question, generate_subscripts(l, 1) - 1 AS variant FROM (SELECT *, list_concat([question], list_filter([lower(question), list_last(string_split(question, ' ')), question], lambda x: trim(x) <> '' AND trim(x) <> trim(question))) AS l FROM requests))",
+    f"coded AS MATERIALIZED (SELECT *, of * 10 + variant AS query_id, {hashed(INSTRUCTED.format('question'))} AS qvec FROM worded)",
+    "plain AS (SELECT * FROM coded WHERE NOT power)",
+    "wide AS (SELECT * FROM coded WHERE power)",
+    NUMBERED,
+    *hybrid("h1", 5, "plain", ON_YEAR, "hmanifest"),
+    *reranked("r1", "h1", "plain", 5),
+    *answered("a1", "r1", 1),
+    *hybrid("h2", 10, "wide", ON_YEAR, "hmanifest"),
+    *reranked("r2", "h2", "wide", 10),
+    *answered("a2", "r2", 3),
+    "early AS MATERIALIZED (SELECT *, 1 AS search_stage FROM a1 WHERE NOT power UNION ALL SELECT *, 2 FROM a2 WHERE power)",
+    f"again AS MATERIALIZED (SELECT query_id, q.question, want_fy, {hashed(INSTRUCTED.format('q.question'))} AS qvec, {hashed('concat(' + chr(39) + 'It is said that ' + chr(39) + ', q.question)')} AS hvec, array_to_string(list_transform(range(1, least(5, len(d)) + 1), lambda i: d[i]), ' ') AS keywords FROM (SELECT *, list_filter({TOKENS.format('question')}, lambda x, i: list_position({TOKENS.format('question')}, x) = i) AS d FROM requests) q JOIN early e USING (query_id) WHERE e.abstained)",
+    *hyde("y", 50, ON_YEAR, "again", "hmanifest"),
+    bm25("w", 50, ON_YEAR, "keywords", "again"),
+    fused("z1", "y", "w"),
+    "free AS (SELECT * FROM again WHERE want_fy IS NOT NULL)",
+    dense("u", 25, asked="free", rows="hmanifest"),
+    fused("z2", "z1", "u"),
+    deduplicated("z", "z2", 10),
+    *answered("a3", "z", 3),
+    "taken AS (SELECT * FROM a3 WHERE NOT abstained AND query_id IN (SELECT query_id FROM again))",
+)
+SOURCE = "query_id, rank, fiscal_year, chunk_type, page, section_breadcrumb, coalesce(table_title, '') AS table_title, round(score, 4) AS score, left(body, 300) AS snippet, signal"
+
 ORACLES: dict[str, str] = {
     "chunk_scan": query("SELECT chunk_id, chunk_type, fiscal_year, text FROM chunks WHERE chunk_type IN ('narrative', 'table')"),
     "chunk_dedupe": query("SELECT concat_ws('_', source_file, chunk_type) AS chunk_id, max(ord) AS line, arg_max(fiscal_year, ord) AS fiscal_year FROM chunks GROUP BY 1"),
@@ -209,4 +283,12 @@ ORACLES: dict[str, str] = {
         *FIVE,
         DESCRIBED,
     ),
+    "ask_staged": query(
+        "SELECT query_id, question, answer, abstained, faithful, CAST(NULL AS VARCHAR) AS faithfulness_issues, false AS clarification_needed, CAST(NULL AS VARCHAR) AS clarification_question, search_stage, CAST(NULL AS VARCHAR) AS error FROM (SELECT query_id, question, answer, abstained, faithful, CASE WHEN abstained THEN 3 ELSE search_stage END AS search_stage FROM early WHERE query_id NOT IN (SELECT query_id FROM taken) UNION ALL SELECT query_id, question, answer, abstained, faithful, 3 FROM taken) UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'No question provided' FROM benchmark WHERE trim(coalesce(text, '')) = ''",
+        *ASKED,
+    ),
+    "ask_sources": query(
+        f"SELECT {SOURCE} FROM a1_j WHERE query_id NOT IN (SELECT query_id FROM taken) UNION ALL SELECT {SOURCE} FROM a2_j WHERE query_id NOT IN (SELECT query_id FROM taken) UNION ALL SELECT {SOURCE} FROM a3_j WHERE query_id IN (SELECT query_id FROM taken)",
+        *ASKED,
+    ),
 }
