@@ -79,7 +79,7 @@ def test_pages_edge_cases(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "", "x"), (2, "v", "<p>long " * 20000, "x"), (3, "w", "<article><p>a &amp; b</p></article>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted(((r.page_id or 0, r.text[:20], r.n_chars) for r in html_text.extract_pages(pages).collect()))
-    assert got == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "long\nlong\nlong\nlong", 99999), (3, "a & b", 5)]
+    assert got == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "long\nlong\nlong\nlong\n", 99999), (3, "a & b", 5)]
     assert html_text.extract_pages(pages.limit(0)).collect() == []
 
 
