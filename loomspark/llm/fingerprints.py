@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .ordering import n_parts, part_of, range_bounds
 
 K = 128
 WIDTH = 5
+#: Keys that a merging task holds.
+HOLD = 1 << 15
 _TOP = float(1 << 48)
 
 
@@ -92,6 +95,42 @@ def fingerprint_documents(docs: DataFrame, k: int = K, width: int = WIDTH) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles double, fingerprint string")
 
 
+def merge_fingerprints(parts: DataFrame, by: str, k: int = K) -> DataFrame:
+    """``by``, fingerprint: that of the union of all parts (column fingerprint) with the same ``by``.
+
+    Each task merges what it has of a key first, so a key's rows never meet in one task,
+    only a merged one for each task or ``HOLD`` keys does.  A null fingerprint is empty.
+    """
+    kind = parts.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), parts_type), pa.array([encode(x) for x in held.values()], pa.string())], [by, "fingerprint"])
+
+        for b in batches:
+            parts_type = b.column(by).type
+            for key, f in zip(b.column(by).to_pylist(), b.column("fingerprint").to_pylist()):
+                mine = decode(f or "")
+                held[key] = merge(held[key], mine, k) if key in held else mine
+            if len(held) > HOLD:
+                yield out()
+                held = {}
+        if held:
+            yield out()
+
+    @F.pandas_udf("string")
+    def union(prints: pd.Series) -> str:
+        found = decode("")
+        for f in prints:
+            found = merge(found, decode(f), k)
+        return encode(found)
+
+    merged = parts.select(by, "fingerprint").mapInArrow(run, f"`{by}` {kind}, fingerprint string")
+    return merged.groupBy(by).agg(union("fingerprint").alias("fingerprint"))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """target, sent, doc_id, text: ranges of ascending doc_id, one range a partition.
 

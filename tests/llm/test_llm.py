@@ -676,6 +676,17 @@ def test_scores_equal_brute_force(spark):
         assert r.held_out == held[r.doc_id] and abs(r.score - slow_score(model, texts[r.doc_id])) < 1e-6 and r.predicted == (r.score >= 0.7)
 
 
+def test_parts_merge_into_the_whole(spark):
+    """Fingerprints of parts that overlap by four words, over many rows and tasks, merge into those of the texts."""
+    random.seed(8)
+    texts = {i: [f"w{random.randint(0, 3000)}" for _ in range(random.choice([3, 40, 900]))] for i in range(6)}
+    parts = [(i, " ".join(w[a : a + 24]), None, None, 0) for i, w in texts.items() for a in range(0, max(1, len(w) - 4), 20)]
+    whole = documents(spark, [(i, " ".join(w), None, None, 0) for i, w in texts.items()])
+    merged = fingerprints.merge_fingerprints(fingerprints.fingerprint_documents(documents(spark, parts).repartition(5)), "doc_id")
+    want = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_documents(whole).collect()}
+    assert {r.doc_id: r.fingerprint for r in merged.collect()} == want
+
+
 def test_estimates_are_near_exact_likeness(spark):
     """near_edited and near_next of op5 against exact Jaccard of five-word shingles."""
     from loomspark.llm.common import table
