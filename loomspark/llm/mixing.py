@@ -89,14 +89,14 @@ def sample_edges(bins: DataFrame) -> DataFrame:
     return near.groupBy("skey").agg(F.first("c.bin").alias("cut"), F.first("c.before").alias("before"), F.max("bin").alias("last"))
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+def _fit(rows: pd.DataFrame, more: list[str]) -> pd.DataFrame:
     """In order, what still fits into the words that are left."""
     rows = rows.sort_values(["q", "doc_id", "size"], kind="stable")
-    left, more = int(rows["rest"].iloc[0] - rows["before"].iloc[0]), []
+    left, taken = int(rows["rest"].iloc[0] - rows["before"].iloc[0]), []
     for size in rows["size"]:
-        more.append(int(size) if size <= left else 0)
-        left -= more[-1]
-    return rows.assign(taken=rows["whole"] * rows["size"] + more)[["doc_id", "size", "source_size", "target", "taken"]]
+        taken.append(int(size) if size <= left else 0)
+        left -= taken[-1]
+    return rows.assign(taken=rows["whole"] * rows["size"] + taken)[["doc_id", "size", "source_size", "target", "taken", *more]]
 
 
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3.0, seed: int = 7) -> DataFrame:
@@ -105,25 +105,68 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[floa
         return materialise(_mixed(docs, word_count() if size is None else size, weights, max_repeats, seed), keep=True)
 
 
-def _mixed(docs: DataFrame, size: Column, weights: tuple[float, ...], max_repeats: float, seed: int) -> DataFrame:
+def _numbers(size: Column, seed: int) -> list[Column]:
+    """What the mix asks of a document."""
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", skey.alias("skey"), size.alias("size"), stable_fraction(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"))
-    sizes = materialise(sizes.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int")))
-    classes = materialise(sizes.groupBy("skey", "class").agg(F.first("source").alias("source"), F.sum("size").alias("words")))
-    goal = materialise(class_copies(classes, source_targets(classes, weights, max_repeats)))
+    u = stable_fraction(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), "source", skey.alias("skey"), size.alias("size"), F.floor(F.log2(size + 1)).cast("int").alias("class"), u.alias("u")]
+
+
+def _ranked(rows: DataFrame, goal: DataFrame) -> DataFrame:
     # Odds ratio q, kept as q / (1 + q) in (0, 1); the sample's edge lies near a half.
     u, p = F.col("u"), F.col("p")
     q = F.when(p > 0, F.try_divide(u * (1 - p), u * (1 - p) + p * (1 - u)))
-    ranked = sizes.drop("source").join(sent(goal), ["skey", "class"]).withColumn("q", q)
-    ranked = ranked.withColumn("bin", F.when(F.col("size") > 0, F.least(F.floor(F.col("q") * BINS), F.lit(BINS - 1)).cast("int")))
-    bins = ranked.filter("bin is not null").groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"), F.first("rest").alias("rest"))
-    ranked = ranked.join(sent(materialise(sample_edges(bins))), "skey", "left")
+    ranked = rows.drop("source").join(sent(goal), ["skey", "class"]).withColumn("q", q)
+    return ranked.withColumn("bin", F.when(F.col("size") > 0, F.least(F.floor(F.col("q") * BINS), F.lit(BINS - 1)).cast("int")))
+
+
+def _placed(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """``near`` the edge or not, and if not, whether one ``more`` copy is taken."""
+    rows = ranked.join(sent(edges), "skey", "left")
     near = F.coalesce(F.col("bin").between(F.col("cut"), F.col("last")), F.lit(False))
     # Without an edge all that may be sampled fits.
-    more = F.when(F.col("bin").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), F.col("size")).otherwise(F.lit(0))
-    far = ranked.filter(~near).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
-    edge = ranked.filter(near).select("skey", "doc_id", "size", "source_size", "target", "whole", "rest", "before", "q")
-    return far.unionByName(edge.groupBy("skey").applyInPandas(_fit, "doc_id long, size long, source_size long, target double, taken long"))
+    more = F.col("bin").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
+    return rows.withColumn("near", near).withColumn("more", F.coalesce(more, F.lit(False)).cast("int"))
+
+
+def _tables(sizes: DataFrame, weights: tuple[float, ...], max_repeats: float) -> tuple[DataFrame, DataFrame]:
+    """(copies by source and class, edges by source): small written tables."""
+    classes = materialise(sizes.groupBy("skey", "class").agg(F.first("source").alias("source"), F.sum("size").alias("words")))
+    goal = materialise(class_copies(classes, source_targets(classes, weights, max_repeats)))
+    bins = _ranked(sizes, goal).filter("bin is not null").groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"), F.first("rest").alias("rest"))
+    return goal, materialise(sample_edges(bins))
+
+
+def _fitted(placed: DataFrame, *more: str) -> DataFrame:
+    kinds = "doc_id long, size long, source_size long, target double, taken long"
+    edge = placed.filter("near").select("skey", "doc_id", "size", "source_size", "target", "whole", "rest", "before", "q", *[c for c in more if c != "skey"])
+    return edge.groupBy("skey").applyInPandas(lambda rows: _fit(rows, list(more)), kinds + "".join(f", {c} {edge.schema[c].dataType.simpleString()}" for c in more))
+
+
+def _mixed(docs: DataFrame, size: Column, weights: tuple[float, ...], max_repeats: float, seed: int) -> DataFrame:
+    sizes = materialise(docs.select(*_numbers(size, seed)))
+    goal, edges = _tables(sizes, weights, max_repeats)
+    placed = _placed(_ranked(sizes, goal), edges)
+    far = placed.filter("not near").select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).cast("long").alias("taken"))
+    return far.unionByName(_fitted(placed))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3.0, seed: int = 7) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it.
+
+    Texts are not shuffled: a row's copies follow from its own numbers and small tables of
+    sources and of documents near an edge.  A row of size 0 weighs nothing and is kept once;
+    of equal rows near an edge each gets their mean, rounded.  All columns stay, whatever
+    their names; without rows there are none.
+    """
+    numbers = _numbers(word_count(), seed)
+    sizes = materialise(docs.select(*numbers))
+    goal, edges = _tables(sizes, weights, max_repeats)
+    fits = _fitted(_placed(_ranked(sizes, goal), edges), "skey", "u").groupBy("skey", "u").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("fit"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *numbers)
+    placed = _placed(_ranked(wide, goal), edges).join(sent(materialise(fits)), ["skey", "u"], "left")
+    times = F.when(F.col("size") == 0, F.lit(1)).when(F.col("near"), F.coalesce("fit", F.lit(0))).otherwise((F.col("whole") + F.col("more")).cast("int"))
+    return placed.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ STAGES = {
     "remove_repeats": (lambda d: suffix_dedup.remove_repeats(d, 100, 51), False),
     "keep_one": (lambda d: near_dedup.keep_one(d), True),
     "keep_good": (lambda d: quality.keep_good(d, quality.train([]), 0.5), False),
+    "mix_documents": (lambda d: mixing.mix_documents(d), None),
     "repeat_documents": (lambda d: mixing.repeat_documents(d, mixing.mix_sources(d)), None),
 }
 
