@@ -38,7 +38,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.repeat_documents(docs, mixing.mix_sources(docs))
+    return mixing.mix_documents(docs)
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
