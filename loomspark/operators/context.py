@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import effective_page, first_non_empty, printed_snippet, snippet
+from ..sources.store import materialise
+from .lexical import row_keys
+from .rank import wanted
 
 BETWEEN = "\n\n---\n\n"
 
@@ -17,9 +20,11 @@ def _head(label: Column, fy: Column, page: Column, bc: Column, width: int) -> Co
 
 def described(results: DataFrame, manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     """Results with their manifest row's metadata and their chunk's body and text."""
-    meta = manifest.select("chunk_id", "chunk_type", "fiscal_year", "page", "section_breadcrumb", "table_title")
-    text = chunks.select("chunk_id", F.coalesce(first_non_empty(F.col("text_nl"), F.col("text")), F.lit("")).alias("body"), F.coalesce("text", F.lit("")).alias("full_text"))
-    return results.join(meta, "chunk_id").join(text, "chunk_id", "left").na.fill("", ["body", "full_text"])
+    keys = row_keys(manifest, chunks)
+    meta = manifest.select("index", *keys, "chunk_type", "fiscal_year", "page", "section_breadcrumb", "table_title")
+    shown = materialise(results.join(meta, ["index", "chunk_id"]))
+    text = wanted(chunks, shown).select(*keys, F.coalesce(first_non_empty(F.col("text_nl"), F.col("text")), F.lit("")).alias("body"), F.coalesce("text", F.lit("")).alias("full_text"))
+    return shown.join(text, keys, "left").drop("ord").na.fill("", ["body", "full_text"])
 
 
 def metadata(fy: str = "fiscal_year", page: str = "page", bc: str = "section_breadcrumb", width: int = 70) -> Column:
@@ -35,7 +40,8 @@ def reduce_context(relevant: DataFrame, found: DataFrame, chunks: DataFrame) ->
     own = relevant.select(
         "query_id", "rank", F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), F.concat(_head(label(""), F.col("fiscal_year"), F.col("page"), F.col("section_breadcrumb"), 60), F.lit("\n"), F.col("body")).alias("block")
     )
-    c = chunks.select(F.col("chunk_id").alias("ctx_id"), "fiscal_year", effective_page(F.col("page_number"), F.col("start_page")).alias("page"), "section_breadcrumb", F.coalesce(first_non_empty(F.col("text_nl"), F.col("text")), F.lit("")).alias("body"))
+    found = materialise(found)
+    c = wanted(chunks, found.select(F.col("ctx_id").alias("chunk_id"))).select(F.col("chunk_id").alias("ctx_id"), "fiscal_year", effective_page(F.col("page_number"), F.col("start_page")).alias("page"), "section_breadcrumb", F.coalesce(first_non_empty(F.col("text_nl"), F.col("text")), F.lit("")).alias("body"))
     around = found.join(c, "ctx_id").select("query_id", "rank", "part", "pos", F.concat(_head(label("+adj"), F.col("fiscal_year"), F.col("page"), F.col("section_breadcrumb"), 60), F.lit("\n"), F.col("body")).alias("block"))
     blocks = own.unionByName(around).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "part", "pos", "block"))).alias("b"))
     return blocks.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), BETWEEN).alias("context"))

@@ -16,6 +16,8 @@ from .dense import matches, rank_by, top_k
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Buckets of terms of a stored index; take more for a larger corpus.
 BUCKETS = 16
+#: Bytes of questions that are sent to the executors.
+SEND_BYTES = 1 << 23
 
 
 @dataclass
@@ -34,10 +36,17 @@ def bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def row_keys(index: DataFrame, chunks: DataFrame) -> list[str]:
+    """What tells the chunk of an index row: its id, and its place in the store where both have it,
+    as ids may repeat."""
+    return ["chunk_id", *(["ord"] if "ord" in index.columns and "ord" in chunks.columns else [])]
+
+
 def manifest_text(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """index rows with ``lexical``, the text that is searched; a missing chunk gives an empty one."""
-    body = chunks.select("chunk_id", "text", "text_nl")
-    joined = index.select("index", "chunk_id", "chunk_type", "fiscal_year", "section_breadcrumb").join(body, "chunk_id", "left")
+    keys = row_keys(index, chunks)
+    body = chunks.select(*keys, "text", "text_nl")
+    joined = index.select("index", *keys, "chunk_type", "fiscal_year", "section_breadcrumb").join(body, keys, "left")
     return joined.withColumn("lexical", lexical_text(F.col("chunk_type"), F.col("text"), F.col("text_nl"), F.col("section_breadcrumb")))
 
 
@@ -51,8 +60,10 @@ def lexical_index(spark: SparkSession, rows: Callable[[], DataFrame], path: str,
     """
 
     def postings() -> DataFrame:
-        toks = rows().select("index", tokens(F.col("lexical")).alias("t")).select("index", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        counted = toks.groupBy("term", "index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        # Grouped by what the rows were joined by too: their tokens are counted where they are.
+        of = [c for c in ("chunk_id", "ord", "index") if c in rows().columns]
+        toks = rows().select(*of, tokens(F.col("lexical")).alias("t")).select(*of, F.size("t").alias("dl"), F.explode("t").alias("term"))
+        counted = toks.groupBy(*of, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "index", "tf", "dl")
         return counted.withColumn("bucket", bucket(buckets)).repartition("bucket")
 
     names = stored(spark, f"{path}/rows", lambda: rows().select("index", "chunk_id", "chunk_type", "fiscal_year"))
@@ -73,12 +84,22 @@ def lexical_index(spark: SparkSession, rows: Callable[[], DataFrame], path: str,
     return LexicalIndex(found, stored(spark, f"{path}/terms", terms, "bucket"), names, total.n, total.length / total.n if total.n else 0.0)
 
 
-def bm25_scores(ix: LexicalIndex, questions: DataFrame, text: str = "question") -> DataFrame:
-    """query_id, index, score of every row that shares a token with the question."""
+def _hits(ix: LexicalIndex, questions: DataFrame, text: str) -> DataFrame:
+    """query_id, index, part of every token that a row and a question share.
+
+    Up to ``SEND_BYTES`` of questions go to the postings, which are not shuffled for them.
+    """
+    small = (questions.agg(F.sum(F.length(text) + 16)).first()[0] or 0) <= SEND_BYTES
+    sent = F.broadcast if small else lambda x: x
     asked = questions.select("query_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(ix.avgdl or 1.0)))
-    hit = asked.join(ix.terms, "term").join(ix.postings, ["bucket", "term"])
-    return hit.groupBy("query_id", "index").agg(F.sum(F.col("qtf") * weight).alias("score"))
+    known = sent(ix.terms.join(sent(asked), "term"))
+    return ix.postings.join(known, ["bucket", "term"]).select("query_id", "index", (F.col("qtf") * weight).alias("part"))
+
+
+def bm25_scores(ix: LexicalIndex, questions: DataFrame, text: str = "question") -> DataFrame:
+    """query_id, index, score of every row that shares a token with the question."""
+    return _hits(ix, questions, text).groupBy("query_id", "index").agg(F.sum("part").alias("score"))
 
 
 def bm25_top_k(ix: LexicalIndex, questions: DataFrame, k: int, text: str = "question") -> DataFrame:
@@ -92,21 +113,40 @@ def bm25_top_k(ix: LexicalIndex, questions: DataFrame, k: int, text: str = "ques
         if c not in questions.columns:
             questions = questions.withColumn(c, F.lit(None).cast("string"))
     wants = questions.select("query_id", F.coalesce("want_fy", F.lit("")).alias("want_fy"), F.coalesce("want_type", F.lit("")).alias("want_type"))
+    wants = materialise(wants)
     ok = matches(F.col("fiscal_year"), F.col("chunk_type"), F.col("want_fy"), F.col("want_type"))
-    hits = materialise(bm25_scores(ix, questions, text).join(ix.rows, "index").join(wants, "query_id").filter(ok).select("query_id", "score", "index", "chunk_id"))
-    counts = wants.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.sum((F.round("score", 9) >= 0).cast("int")).alias("good")), "query_id", "left").na.fill(0, ["m", "good"])
-    needy = counts.filter(F.col("good") < k)
+
+    def eligible(asked: DataFrame) -> DataFrame:
+        """Scores of the rows that a search may give."""
+        if wants.filter("want_fy != '' or want_type != ''").isEmpty():
+            return bm25_scores(ix, asked, text)
+        # Dealt by row, scores are summed up where the rows' years and types are.
+        summed = _hits(ix, asked, text).repartition("index").groupBy("index", "query_id").agg(F.sum("part").alias("score"))
+        return summed.join(ix.rows, "index").join(wants, "query_id").filter(ok).select("query_id", "index", "score")
+
+    best = materialise(top_k(eligible(questions), k))
+    good = best.filter(F.round("score", 9) >= 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("good"))
+    needy = materialise(wants.join(good, "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k).drop("good"))
+    if needy.isEmpty():
+        return _named(best, ix)
+    hits = materialise(eligible(questions.join(needy.select("query_id"), "query_id", "left_semi")))
+    needy = needy.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id", "left").na.fill(0, ["m"])
     most = needy.agg(F.max("m")).first()[0]
-    if most is None:
-        return top_k(hits, k)
     # The last k + most rows for each wanted pair of year and type; each row is under four such keys.
     either = lambda c: F.explode(F.array_distinct(F.array(F.coalesce(c, F.lit("")), F.lit(""))))
-    keyed = ix.rows.select("index", "chunk_id", "chunk_type", either("fiscal_year").alias("want_fy")).select("index", "chunk_id", "want_fy", either("chunk_type").alias("want_type"))
+    keyed = ix.rows.select("index", "chunk_type", either("fiscal_year").alias("want_fy")).select("index", "want_fy", either("chunk_type").alias("want_type"))
     last = keyed.join(needy.select("want_fy", "want_type").distinct(), ["want_fy", "want_type"])
     last = last.withColumn("r", F.row_number().over(W.partitionBy("want_fy", "want_type").orderBy(F.col("index").desc()))).filter(F.col("r") <= k + most)
-    fill = needy.join(last, ["want_fy", "want_type"]).filter(F.col("r") <= k + F.col("m")).select("query_id", F.lit(0.0).alias("score"), "index", "chunk_id")
+    fill = needy.join(last, ["want_fy", "want_type"]).filter(F.col("r") <= k + F.col("m")).select("query_id", "index", F.lit(0.0).alias("score"))
     fill = fill.join(hits.select("query_id", "index"), ["query_id", "index"], "left_anti")
-    return top_k(hits.unionByName(fill), k)
+    filled = top_k(hits.unionByName(fill), k).unionByName(best.join(needy.select("query_id"), "query_id", "left_anti"))
+    return _named(materialise(filled), ix)
+
+
+def _named(ranked: DataFrame, ix: LexicalIndex) -> DataFrame:
+    """Written results with the ids of their rows."""
+    names = ix.rows.select("index", "chunk_id").join(F.broadcast(ranked.select("index").distinct()), "index", "left_semi")
+    return ranked.join(names, "index").select("query_id", "rank", "score", "index", "chunk_id")
 
 
 __all__ = ["LexicalIndex", "bm25_scores", "bm25_top_k", "lexical_index", "manifest_text", "rank_by"]
