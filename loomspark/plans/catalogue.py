@@ -25,11 +25,19 @@ WANT_FY, WANT_TYPE = "2019-2020", "table"
 Q = Callable[[SparkSession, str], DataFrame]
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Index, chunks and keyword index; what is derived is stored once for these files."""
+def corpus(spark: SparkSession, sf_dir: str, texts: bool = True) -> Corpus:
+    """Index, chunks and keyword index; what is derived is stored once for these files.
+
+    ``texts``: the index has ``embed_text``, which is not stored but joined from the chunks.
+    """
     root = _root(spark, sf_dir)
     index = stored(spark, f"{root}/index", lambda: D.index(spark, sf_dir))
-    return Corpus.of(index, D.chunks(spark, sf_dir), f"{root}/lexical")
+    found = Corpus.of(index, D.chunks(spark, sf_dir), f"{root}/lexical")
+    return Corpus(D.with_embed_text(index, spark, sf_dir), found.chunks, lambda: found.lexical) if texts else found
+
+
+#: For all that embeds nothing.
+_corpus = partial(corpus, texts=False)
 
 
 def _root(spark: SparkSession, sf_dir: str) -> str:
@@ -85,11 +93,11 @@ def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     eligible = D.chunks(spark, sf_dir).filter(F.col("chunk_type").isin("narrative", "table"))
-    return build.todo(eligible, corpus(spark, sf_dir).index.filter("embedding is not null")).select("chunk_id")
+    return build.todo(eligible, _corpus(spark, sf_dir).index.filter("embedding is not null")).select("chunk_id")
 
 
 def index_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.per_type_index(corpus(spark, sf_dir).index).select("chunk_id", "chunk_type", "index", "local_index", "page", "embed_chars", "table_title")
+    return S.per_type_index(_corpus(spark, sf_dir).index).select("chunk_id", "chunk_type", "index", "local_index", "page", "embed_chars", "table_title")
 
 
 def query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +105,11 @@ def query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).lexical.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _corpus(spark, sf_dir).lexical.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bm25_scores(corpus(spark, sf_dir).lexical, D.questions(spark, sf_dir))
+    s = bm25_scores(_corpus(spark, sf_dir).lexical, D.questions(spark, sf_dir))
     return s.select("query_id", "index", F.round("score", 5).alias("score"))
 
 
@@ -111,12 +119,12 @@ def _filtered(q: DataFrame) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataFrame:
     q = D.questions(spark, sf_dir)
-    return _out(bm25_top_k(corpus(spark, sf_dir).lexical, _filtered(q) if filtered else q, 10))
+    return _out(bm25_top_k(_corpus(spark, sf_dir).lexical, _filtered(q) if filtered else q, 10))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataFrame:
     q = D.questions(spark, sf_dir)
-    return _out(dense_top_k(corpus(spark, sf_dir).index, _filtered(q) if filtered else q, 10), 5)
+    return _out(dense_top_k(_corpus(spark, sf_dir).index, _filtered(q) if filtered else q, 10), 5)
 
 
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,18 +134,18 @@ def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, q = corpus(spark, sf_dir), D.questions(spark, sf_dir)
+    c, q = _corpus(spark, sf_dir), D.questions(spark, sf_dir)
     return _out(fusion.rrf(dense_top_k(c.index, q, 20), bm25_top_k(c.lexical, q, 20)))
 
 
 def rrf_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, q = corpus(spark, sf_dir), _asked(spark, sf_dir).drop("want_fy")
+    c, q = _corpus(spark, sf_dir), _asked(spark, sf_dir).drop("want_fy")
     base = fusion.rrf(dense_top_k(c.index, q, 20), bm25_top_k(c.lexical, q, 20))
     return _out(fusion.rrf(base, dense_top_k(c.index, q.withColumn("qvec", F.col("hvec")), 20)))
 
 
 def hybrid_results(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[Corpus, DataFrame]:
-    c = corpus(spark, sf_dir)
+    c = _corpus(spark, sf_dir)
     return c, materialise(fusion.hybrid_top_k(c.index, c.lexical, D.questions(spark, sf_dir), k))
 
 
@@ -146,7 +154,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, q = corpus(spark, sf_dir), D.questions(spark, sf_dir)
+    c, q = _corpus(spark, sf_dir), D.questions(spark, sf_dir)
     other = q.select("query_id", F.lit(1).alias("variant"), T.keywords(F.col("question")).alias("question")).join(_vector(spark, sf_dir, 1, "qvec"), "query_id", "left")
     both = q.select("query_id", F.lit(0).alias("variant"), "question", "qvec").unionByName(other)
     return _out(fusion.multi_query(c.index, c.lexical, both, 5))
@@ -162,11 +170,11 @@ def edge_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hyde_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(hyde(corpus(spark, sf_dir), _asked(spark, sf_dir).drop("want_fy"), 5))
+    return _out(hyde(_corpus(spark, sf_dir), _asked(spark, sf_dir).drop("want_fy"), 5))
 
 
 def stage3_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
+    c = _corpus(spark, sf_dir)
     found = with_pages(materialise(stage3(c, _asked(spark, sf_dir), 10)), c)
     return _out(found.withColumn("chunk_id", F.concat_ws(" ", "chunk_id", "context")))
 
@@ -247,9 +255,9 @@ def two_way_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every benchmark item as a request, models by stand-ins; vectors by the hashing one too."""
     req = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("fiscal_year"), (F.col("item_id") % 2 == 1).alias("power_search"))
-    c = corpus(spark, sf_dir)
+    c = _corpus(spark, sf_dir)
     stub = stand_ins()
-    index = stored(spark, f"{_root(spark, sf_dir)}/hashed", lambda: c.index.withColumn("embedding", stub.embed(F.col("embed_text"))))
+    index = stored(spark, f"{_root(spark, sf_dir)}/hashed", lambda: D.with_embed_text(c.index, spark, sf_dir).withColumn("embedding", stub.embed(F.col("embed_text"))).drop("embed_text"))
     return ask(stub, Corpus(index, c.chunks, c.lexical), req)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,18 @@ class Corpus:
 
     index: DataFrame
     chunks: DataFrame
-    lexical: LexicalIndex
+    keyword_index: LexicalIndex | Callable[[], LexicalIndex]
 
     @classmethod
     def of(cls, index: DataFrame, chunks: DataFrame, path: str) -> Corpus:
-        """``path``: where the keyword index is stored (see :func:`lexical_index`)."""
-        return cls(index, chunks, lexical_index(index.sparkSession, lambda: manifest_text(index, chunks), path))
+        """``path``: where the keyword index is stored (see :func:`lexical_index`) once a search wants it."""
+        return cls(index, chunks, lambda: lexical_index(index.sparkSession, lambda: manifest_text(index, chunks), path))
+
+    @property
+    def lexical(self) -> LexicalIndex:
+        if callable(self.keyword_index):
+            self.keyword_index = self.keyword_index()
+        return self.keyword_index
 
 
 def hyde(corpus: Corpus, questions: DataFrame, k: int) -> DataFrame:

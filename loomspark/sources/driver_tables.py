@@ -53,14 +53,24 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest of all eligible chunks, ``index`` dense from 0, with a vector where there is one."""
+    """Manifest of all eligible chunks, ``index`` dense from 0, with a vector where there is one.
+
+    It has no texts: they stay where they are (see :func:`with_embed_text`).
+    """
     from .chunks import manifest_rows, with_order
 
-    rows = manifest_rows(chunks(spark, sf_dir).filter("chunk_type in ('narrative', 'table')"))
+    rows = manifest_rows(chunks(spark, sf_dir).filter("chunk_type in ('narrative', 'table')")).drop("embed_text")
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
     return with_order(rows.join(vec, "ord", "left"), ["ord"], "index")
 
 
+def with_embed_text(index: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``index`` with ``embed_text``, the text that is embedded."""
+    from .chunks import manifest_rows
+
+    return index.join(manifest_rows(chunks(spark, sf_dir)).select("ord", "embed_text"), "ord", "left")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, question, qvec: every benchmark item, its vector that of the same number."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
