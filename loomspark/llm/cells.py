@@ -28,7 +28,7 @@ STEP = 1 << 20
 def deal(groups: DataFrame, sets: DataFrame, weight: Column) -> DataFrame:
     """Cells of ``groups`` (c, nid, label, n, ask), each in one partition and in one run.
 
-    ``sets``: nid and its elements ``els``, of which a member has ``weight``.  Groups in
+    ``sets``: nid and its elements ``els`` (long, or int for upper halves), of which a member has ``weight``.  Groups in
     which nobody asks are left out.  ``role``: 1 asks in this cell, 2 is asked, 3 both.
     """
     count = lambda w: F.ceil(F.sum(w) / BLOCK).cast("int")
@@ -76,7 +76,8 @@ class Sets:
         els = t["els"].chunk(0)
         self.rows = t.num_rows
         self.size = els.value_lengths().to_numpy().astype(np.int64)
-        flat = els.flatten().to_numpy().view(np.uint64)
+        flat = els.flatten().to_numpy()
+        flat = flat.view(np.uint32).astype(np.uint64) if flat.dtype == np.int32 else flat.view(np.uint64)
         owner = np.repeat(np.arange(self.rows), self.size)
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         cell = t["cell"].to_numpy().view(np.uint64)
@@ -152,11 +153,11 @@ def _pairs(s: Sets, k: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield code // s.rows + low, code % s.rows, common, both
 
 
-def meeting_rows(s: Sets, need: int, num: int, den: int) -> np.ndarray:
-    """Rows that have ``need`` elements in common with a row of another label."""
+def meeting_rows(s: Sets, need: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows that have as many elements in common with a row of another label as each of the two needs."""
     good = np.zeros(s.rows, bool)
     for f, g, common, _ in _pairs(s, 1):
-        enough = (common >= need) & s.able(f, g, num, den)
+        enough = (common >= np.maximum(need[f], need[g])) & s.able(f, g, num, den)
         good[f[enough]] = True
         good[g[enough]] = True
     return good

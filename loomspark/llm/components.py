@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import connected
 from .common import materialise, scratch
 
+#: Distinct edges (2 MB) up to which the driver joins them itself: a round takes many Spark stages.
+AT_ONCE = 1 << 17
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (least node of its component) for every node of ``edges`` (a, b: long).
 
-    Rounds of hooking each node's neighbours to its least neighbour, then each node to
+    Up to ``AT_ONCE`` edges are joined at once.  Of more there are rounds of hooking each node's neighbours to its least neighbour, then each node to
     its least one (large-star, small-star), until nothing changes.  Labels only move
     within a component; rounds grow with the logarithm of its size.  Each round is a
     written table, and so is the result.  Repeated edges, loops and edges without one end
     add nothing; without edges there are no rows.
     """
     with scratch():
-        return materialise(_rounds(edges), keep=True)
+        pairs = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+        return materialise((_joined if pairs.count() <= AT_ONCE else _rounds)(pairs), keep=True)
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    t = pairs.toArrow()
+    a, b = t["a"].to_numpy(), t["b"].to_numpy()
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = nodes[connected(at[: len(a)], at[len(a) :], len(nodes))]
+    return pairs.sparkSession.createDataFrame(pa.table({"node": nodes, "label": label}), "node long, label long")
 
 
-def _rounds(edges: DataFrame) -> DataFrame:
-    pairs = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+def _rounds(pairs: DataFrame) -> DataFrame:
     seen = _fingerprint(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -12,13 +12,13 @@ one family of near copies have the same centre, and the lists of a centre make o
 Two sets that are alike share a list and so a group.  No pairs are made: groups are compared
 in cells of bounded size (``cells``), in two rounds.
 
-1. The centre of each group meets the members that share ``MEET`` of its lists.  This joins
+1. The centre of each group meets the members that share ``MEET`` of its lists (small sets fewer).  This joins
    large families of near copies.
 2. Groups whose members are all in one component are done.  In the others each member
    outside the largest component meets all members of another component; a cell first
    holds the lists that its members are in, and those go on that share ``MEET`` with another.
 
-In both rounds cells then hold sketches: the union sketch estimates each meeting's
+In both rounds cells then hold sketches, of each value the upper half: the union sketch estimates each meeting's
 similarity, and only members with a likely partner go on.  Last the cells hold whole sets
 and exact Jaccard confirms; out come the links that connect what is alike.  Equal sets are
 one set throughout; their documents are joined to it at the end.
@@ -46,8 +46,8 @@ from .common import blocks, column_bytes, fresh, materialise, only, scratch, shi
 from .components import components
 
 K = 128
-#: Lists in which a pair must meet.
-MEET = 4
+#: Lists in which a pair of large sets must meet; the more, the fewer sets meet by chance.
+MEET = 8
 #: Rounds of closing lists; the result does not depend on it.
 PRUNE = 2
 #: Chance that a pair shares fewer retained values than it must.
@@ -111,8 +111,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, lower: bool) -> D
 
 
 def prefix_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """v, nid, n: membership of sets in the inverted lists that can generate a link.
+    """v, nid, need: membership of sets in the inverted lists that can generate a link.
 
+    A set shares ``need`` lists or more with all that it is alike (see :func:`meetings_needed`).
     Sets so small that no different set can be alike enough are in none.
     """
     # A partner of a set below K * num / den is whole in its sketch too.
@@ -124,32 +125,39 @@ def prefix_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
     w = W.partitionBy("nid")
     # Values of one set alone are the rarest and fill the prefix first: K - least + MEET less their number.
     room = F.count(F.lit(1)).over(w) - F.col("least") + F.least(F.lit(MEET), F.col("least"))
-    return each.select("v", "nid", room.alias("room"), F.row_number().over(w.orderBy("df", "v")).alias("rank")).filter("rank <= room").select("v", "nid")
+    need = F.least(F.lit(MEET), F.ceil(F.col("least") * num / den)).cast("byte")
+    return each.select("v", "nid", need.alias("need"), room.alias("room"), F.row_number().over(w.orderBy("df", "v")).alias("rank")).filter("rank <= room").select("v", "nid", "need")
 
 
-def meetings_needed(num: int, den: int) -> int:
-    """Lists that both sets of a link are in."""
-    smallest = ceil(num / (den - num)) if den > num else 1
-    return max(1, min(MEET, ceil(smallest * num / den), least_shared(num / den)))
+def meetings_needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Lists that sets of ``n`` shingles share with any that they are alike.
+
+    Sets that must have t values in common with a partner are in the lists of all but the
+    last t - MEET of these, so a pair shares as many as the smaller set's min(t, MEET).  The
+    smaller set has num/den of the larger one's size or more: its t is a set's own num/den
+    at least.
+    """
+    least = np.where(n * den < K * num, -(-n * num // den), least_shared(num / den))
+    return np.minimum(MEET, -(-least * num // den))
 
 
 def centred(lists: DataFrame) -> DataFrame:
-    """``lists`` (v, nid) with ``c``, the centre of each list."""
+    """``lists`` (v, nid, need) with ``c``, the centre of each list."""
     often = lists.join(lists.groupBy("nid").agg(F.count(F.lit(1)).alias("often")), "nid")
     centre = often.groupBy("v").agg(F.max(F.struct("often", "nid")).alias("o")).select("v", F.col("o.nid").alias("c"))
     return lists.join(centre, "v")
 
 
-def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """v, nid, label: members of lists that hold several components, if in ``least`` of them.
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """v, nid, need, label: members of lists that hold several components, if in ``need`` of them.
 
     Lists that this leaves with one component are closed in turn, ``PRUNE`` times.
     """
-    named = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("v", "nid", F.coalesce("label", "nid").alias("label"))
+    named = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("v", "nid", "need", F.coalesce("label", "nid").alias("label"))
     for _ in range(PRUNE):
         several = named.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("v")
         open_ = named.join(several, "v")
-        named = materialise(open_.join(open_.groupBy("nid").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least).select("nid"), "nid"))
+        named = materialise(open_.join(open_.groupBy("nid").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("least")).filter("times >= least").select("nid"), "nid"))
     return named
 
 
@@ -169,12 +177,12 @@ class _Comparison:
     def sized(self, found: DataFrame) -> DataFrame:
         return materialise(found.join(self.reps.select("nid", "n"), "nid").select("c", "nid", "label", "n", "ask"))
 
-    def sharing(self, found: DataFrame, lists: DataFrame, need: int) -> DataFrame:
-        """Members of ``found`` that share ``need`` of ``lists`` with one of another label."""
+    def sharing(self, found: DataFrame, lists: DataFrame) -> DataFrame:
+        """Members of ``found`` that share enough of ``lists`` with one of another label."""
         num, den = self.num, self.den
         of = lists.groupBy("nid").agg(F.sort_array(F.collect_list("v")).alias("els"))
         dealt = cells.deal(self.sized(found), of, F.lit(K))
-        return materialise(dealt.mapInArrow(cells.filtered(lambda s: cells.meeting_rows(s, need, num, den)), _MEMBER).distinct())
+        return materialise(dealt.mapInArrow(cells.filtered(lambda s: cells.meeting_rows(s, meetings_needed(s.n.astype(np.int64), num, den), num, den)), _MEMBER).distinct())
 
     def links(self, found: DataFrame) -> DataFrame:
         """a, b: what is alike in ``found`` (c, nid, label, n, ask), as a written table."""
@@ -184,7 +192,7 @@ class _Comparison:
     def _links(self, found: DataFrame) -> DataFrame:
         num, den = self.num, self.den
         least = least_shared(num / den)
-        sketches = only(self.reps, found.select("nid").distinct(), "nid").select("nid", F.col("sk").alias("els"))
+        sketches = only(self.reps, found.select("nid").distinct(), "nid").select("nid", F.transform("sk", lambda v: F.shiftright(v, 32).cast("int")).alias("els"))
         dealt = cells.deal(found, sketches, F.least(F.col("n"), F.lit(K)))
         left = materialise(dealt.mapInArrow(cells.filtered(lambda s: cells.overlap_rows(s, K, least, num, den)), _MEMBER).distinct())
         wanted = only(self.reps.select("nid", "id"), left.select("nid").distinct(), "nid").select("nid", F.col("id").alias("doc_id"))
@@ -206,12 +214,13 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, lower: bool) -> Dat
     reps = materialise(rows.filter("n > 0").groupBy("nid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     lists = materialise(prefix_lists(reps, num, den))
     compare = _Comparison(docs, reps, width, num, den, lower)
-    need = meetings_needed(num, den)
-    near = centred(lists).groupBy("c", "nid").agg(F.count(F.lit(1)).alias("times")).filter((F.col("times") >= need) | (F.col("c") == F.col("nid")))
-    edges = compare.links(compare.sized(near.select("c", "nid", F.col("nid").alias("label"), (F.col("nid") == F.col("c")).alias("ask"))))
-    left = open_lists(lists, components(edges), need)
+    members = materialise(centred(lists).filter("c != nid").groupBy("c", "nid").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need")).filter("times >= need").select("c", "nid"))
+    # A centre that meets nobody takes no part: its sketch stays where it is.
+    near = members.withColumn("ask", F.lit(False)).unionByName(members.select("c", F.col("c").alias("nid"), F.lit(True).alias("ask")).distinct())
+    edges = compare.links(compare.sized(near.withColumn("label", F.col("nid"))))
+    left = open_lists(lists, components(edges))
     found = outsiders(materialise(centred(left).select("c", "nid", "label").distinct()))
-    found = outsiders(compare.sharing(found, left, need).select("c", "nid", "label"))
+    found = outsiders(compare.sharing(found, left).select("c", "nid", "label"))
     edges = edges.unionByName(compare.links(compare.sized(found)))
     labels = components(edges)
     named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "id", F.coalesce("label", "nid").alias("c"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from loomspark.llm import cells, chat, fingerprints, html_text, langid, mixing, near_dedup, packing, perplexity, quality, suffix_dedup
 from loomspark.llm.components import components
-from loomspark.llm.common import list_bytes
+from loomspark.llm.common import list_bytes, materialise
 from loomspark.llm.suffix_array import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -418,6 +418,32 @@ def test_groups_equal_brute_force(spark, monkeypatch):
         assert [got[i].n_shingles for i in range(len(docs))] == [len(s) for s in sets]
 
 
+def test_lists_that_sets_share():
+    """Large sets must share MEET lists, small ones what their sizes leave: never more than any partner gives."""
+    n = np.arange(4, 400)
+    need = near_dedup.meetings_needed(n, 80, 100)
+    assert need[0] == 4 and need[-1] == near_dedup.MEET and (np.diff(need) >= 0).all()
+    t = np.where(n * 100 < near_dedup.K * 80, -(-n * 80 // 100), near_dedup.least_shared(0.8))
+    for size, most in zip(n, need):
+        partners = t[(n * 100 >= size * 80) & (size * 100 >= n * 80)]
+        assert most <= min(near_dedup.MEET, partners.min())
+
+
+def test_small_graphs_are_joined_at_once(spark, monkeypatch):
+    """Few edges take a few jobs, however long their paths are; more edges give the same."""
+    from loomspark.llm import components as module
+
+    edges = materialise(spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 100] + [(7, 7), (None, 3), (1000, 400)], "a long, b long"))
+    found = []
+    for bound in (module.AT_ONCE, 0):
+        monkeypatch.setattr(module, "AT_ONCE", bound)
+        spark.sparkContext.setJobGroup(f"components {bound}", "")
+        found.append(sorted(map(tuple, module.components(edges).collect())))
+        if bound:
+            assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {bound}")) <= 12
+    assert found[0] == found[1] and (300, 201) in found[0] and (1000, 400) in found[0]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -704,3 +730,15 @@ def test_estimates_are_near_exact_likeness(spark):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         off += [abs(got[i].near_edited - likeness(t, edited)), abs(got[i].near_next - likeness(t, after))]
     assert max(off) < 0.2 and sum(off) / len(off) < 0.02
+
+
+def test_quality_training_holds_little():
+    """Fitting takes no memory for the scaled values of all features."""
+    import tracemalloc
+
+    rows = [np.random.default_rng(i).permutation(1 << 12)[:2000].astype(np.int32) for i in range(1000)]
+    tracemalloc.start()
+    quality.dual_descent(rows, np.random.default_rng(5).random(1 << 12), np.where(np.arange(1000) % 2, 1, -1), 1.0, 1, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20
