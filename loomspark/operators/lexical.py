@@ -63,8 +63,12 @@ def lexical_index(spark: SparkSession, rows: Callable[[], DataFrame], path: str,
         # Grouped by what the rows were joined by too: their tokens are counted where they are.
         of = [c for c in ("chunk_id", "ord", "index") if c in rows().columns]
         toks = rows().select(*of, tokens(F.col("lexical")).alias("t")).select(*of, F.size("t").alias("dl"), F.explode("t").alias("term"))
-        counted = toks.groupBy(*of, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "index", "tf", "dl")
-        return counted.withColumn("bucket", bucket(buckets)).repartition("bucket")
+        counted = toks.groupBy(*of, "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("bucket", bucket(buckets))
+        # A row's terms of one bucket travel as one string; no term has a blank.
+        packed = counted.groupBy(*of, "dl", "bucket").agg(F.collect_list(F.struct("term", "tf")).alias("v"))
+        sent = packed.select("bucket", "index", "dl", F.array_join(F.col("v.term"), " ").alias("terms"), F.col("v.tf").alias("tfs")).repartition("bucket")
+        each = sent.select("index", "dl", "bucket", F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), F.col("tfs").alias("tf"))).alias("p"))
+        return each.select("p.term", "index", F.col("p.tf").cast("long").alias("tf"), "dl", "bucket")
 
     names = stored(spark, f"{path}/rows", lambda: rows().select("index", "chunk_id", "chunk_type", "fiscal_year"))
     found = stored(spark, f"{path}/postings", postings, "bucket")

@@ -66,3 +66,21 @@ def test_deduplicate_by_signatures_loses_nothing(spark):
     assert [r["index"] for r in rank.deduplicate(results, chunks).orderBy("rank").collect()] == kept
     row = rank.deduplicate(results, chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in row
+
+
+def test_postings_travel_packed(spark, tmp_path, monkeypatch):
+    """What is dealt to buckets is a row for each text and bucket, not for each word; counts are kept."""
+    from collections import Counter
+
+    from loomspark.operators import lexical
+
+    plans = []
+    monkeypatch.setattr(lexical, "stored", lambda s, path, build, *by, f=lexical.stored: f(s, path, lambda: plans.append(df := build()) or df, *by))
+    words = [f"w{i % (7 + i % 13)}" for i in range(500)]
+    texts = [" ".join(words[k:] + words[:3]) for k in (0, 100, 250)] + ["", "é_9 É_9 x"]
+    df = spark.createDataFrame([(i, f"c{i}", "narrative", "y", t) for i, t in enumerate(texts)], "index long, chunk_id string, chunk_type string, fiscal_year string, lexical string")
+    ix = lexical_index(spark, lambda: df, str(tmp_path / "p"), 4)
+    want = {(t, i): (n, len(text.split())) for i, text in enumerate(x.lower() for x in texts) for t, n in Counter(text.split()).items()}
+    assert {(r.term, r["index"]): (r.tf, r.dl) for r in ix.postings.collect()} == want
+    dealt = next(p for p in plans if "tf" in p.columns)
+    assert "RepartitionByExpression" in dealt._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[1]
