@@ -81,7 +81,9 @@ def lexical_index(spark: SparkSession, rows: Callable[[], DataFrame], path: str,
     def terms() -> DataFrame:
         df = found.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
         raw = df.withColumn("raw", F.log(F.lit(total.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+        # Summed as decimals, so that the mean is the same in whatever order terms come.
+        s = raw.agg(F.sum(F.col("raw").cast("decimal(28,18)")).alias("sum"), F.count("raw").alias("n")).first()
+        mean = float(s["sum"]) / s["n"] if s["n"] else 0.0
         idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))
         return raw.select("bucket", "term", "df", idf.alias("idf")).repartition("bucket")
 

@@ -68,6 +68,20 @@ def test_deduplicate_by_signatures_loses_nothing(spark):
     assert "bit_count" in row
 
 
+def test_common_terms_weigh_the_same_in_whatever_order_terms_come(spark, tmp_path):
+    """Terms of more than half of the rows get a share of the mean of all weights: the exact mean."""
+    import math
+
+    from loomspark.operators.lexical import EPSILON
+
+    n = 600
+    rows = [(i, f"c{i}", "narrative", "y", "common " + " ".join(f"w{j}" for j in range(3000) if i % (j % 97 + 2) == 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "index long, chunk_id string, chunk_type string, fiscal_year string, lexical string")
+    terms = {r.term: r for r in lexical_index(spark, lambda: df, str(tmp_path / "m")).terms.collect()}
+    raw = [math.log(n - r.df + 0.5) - math.log(r.df + 0.5) for r in terms.values()]
+    assert abs(terms["common"].idf - EPSILON * math.fsum(raw) / len(raw)) <= 2 * math.ulp(terms["common"].idf)
+
+
 def test_postings_travel_packed(spark, tmp_path, monkeypatch):
     """What is dealt to buckets is a row for each text and bucket, not for each word; counts are kept."""
     from collections import Counter
