@@ -39,10 +39,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import cells
-from .common import blocks, column_bytes, fresh, materialise, only, scratch, shingles, word_hashes
+from .common import blocks, column_bytes, fresh, materialise, mix, only, scratch, shingles, word_hashes
 from .components import components
 
 K = 128
@@ -83,50 +82,138 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketch_documents(docs: DataFrame, width: int, lower: bool) -> DataFrame:
-    """doc_id, n (set size), nid (name of the set), sk (its bottom-k sketch) for every row."""
+    """doc_id, n (set size), hid (hash of the set), sk (its bottom-k sketch) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(_sets(b, width, lower))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_id(s) for s in sets], pa.int64()), _lists([s[:K] for s in sets])], ["doc_id", "n", "nid", "sk"]
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_id(s) for s in sets], pa.int64()), _lists([s[:K] for s in sets])], ["doc_id", "n", "hid", "sk"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, nid long, sk array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, hid long, sk array<long>")
+
+
+def named_sets(rows: DataFrame) -> DataFrame:
+    """nid, hid, id (least doc_id), n, sk of every distinct set that is not empty, in a written table.
+
+    ``nid`` names the set from here on: a small number, of which fewer bytes are shuffled.
+    """
+    sets = rows.filter("n > 0").groupBy("hid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
+    sets = materialise(sets.withColumn("at", F.monotonically_increasing_id()), keep=True)
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    bits = (sets.agg(F.max(place)).first()[0] or 0).bit_length()
+    return sets.select(F.shiftleft(F.shiftright("at", 33), bits).bitwiseOR(place).alias("nid"), "hid", "id", "n", "sk")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, lower: bool) -> DataFrame:
-    """nid, els for the sets named by ``wanted`` (doc_id, nid: one document for each)."""
+    """nid, els for the sets named by ``wanted`` (doc_id, nid, hid: one document for each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(_sets(b, width, lower))
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], ["nid", "els"])
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], ["hid", "els"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = only(rows, wanted.select("doc_id").distinct(), "doc_id")
-    sets = rows.select("text").mapInArrow(run, "nid long, els array<long>")
+    sets = rows.select("text").mapInArrow(run, "hid long, els array<long>")
     # An id that stands in several rows may bring sets that nobody wants, or one set twice.
-    return sets.join(wanted.select("nid"), "nid", "left_semi").dropDuplicates(["nid"])
+    return sets.join(wanted.select("nid", "hid"), "hid").dropDuplicates(["hid"]).select("nid", "els")
+
+
+#: Retained values that one part holds, and the least number of parts (rows of some kB: Arrow takes 2,000 at a time).
+PART, PARTS = 1 << 19, 1 << 11
+#: Bytes of a retained value, its upper ones, that name its list; values that they do not tell apart share one.
+VALUE = 6
+
+_PACKED = "part int, least binary, nid binary, v binary"
+
+
+def packed(part: np.ndarray, *columns: tuple[np.ndarray, int]) -> list[pa.Array]:
+    """A row for each number in ``part``: that, and its entries of each column in as many bytes as are given."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    out = [pa.array(part[first].astype(np.int32))]
+    for x, width in columns:
+        raw = x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        ends = (np.append(first, len(part)) * width).astype(np.int32)
+        out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)]))
+    return out
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], *widths: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each part; ``batches`` have packed rows in order of ``part``."""
+    held: list[list[bytes]] = [[] for _ in widths]
+    last = None
+
+    def whole() -> list[np.ndarray]:
+        out = []
+        for rows, width in zip(held, widths):
+            raw = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+            x = np.zeros((len(raw), 8), np.uint8)
+            x[:, :width] = raw
+            out.append(x.view("<u8").ravel())
+            rows.clear()
+        return out
+
+    for b in batches:
+        for part, *row in zip(b.column(0).to_pylist(), *(b.column(i + 1) for i in range(len(widths)))):
+            if part != last and held[0]:
+                yield whole()
+            last = part
+            for rows, x in zip(held, row):
+                rows.append(x.as_py())
+    if held[0]:
+        yield whole()
 
 
 def prefix_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
     """v, nid, need: membership of sets in the inverted lists that can generate a link.
 
     A set shares ``need`` lists or more with all that it is alike (see :func:`meetings_needed`).
-    Sets so small that no different set can be alike enough are in none.
+    Sets so small that no different set can be alike enough are in none.  Memberships travel
+    packed: to the part of their value, which counts its members, and, if it has several, to
+    the part of their set, which ranks them.
     """
-    # A partner of a set below K * num / den is whole in its sketch too.
-    exact = F.ceil(F.col("n") * num / den)
-    least = F.when(F.col("n") * den < K * num, exact).otherwise(F.lit(least_shared(num / den))).cast("short")
-    each = reps.filter(F.col("n") * (den - num) >= num).select("nid", least.alias("least"), F.explode("sk").alias("v"))
-    # A value is in a set once: no value has more than a K-th of these rows.
-    each = each.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("v"))).filter("df > 1")
-    w = W.partitionBy("nid")
-    # Values of one set alone are the rarest and fill the prefix first: K - least + MEET less their number.
-    room = F.count(F.lit(1)).over(w) - F.col("least") + F.least(F.lit(MEET), F.col("least"))
-    need = F.least(F.lit(MEET), F.ceil(F.col("least") * num / den)).cast("byte")
-    return each.select("v", "nid", need.alias("need"), room.alias("room"), F.row_number().over(w.orderBy("df", "v")).alias("rank")).filter("rank <= room").select("v", "nid", "need")
+    able = reps.filter(F.col("n") * (den - num) >= num).select("nid", "n", "sk")
+    top, values = able.agg(F.max("nid"), F.sum(F.least(F.col("n"), F.lit(K)))).first()
+    wide = max(1, -(-(top or 0).bit_length() // 8))
+    parts = np.uint64(max(PARTS, 1 << ((values or 0) // PART).bit_length()) - 1)
+    exact = least_shared(num / den)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sk, n = b.column("sk"), b.column("n").to_numpy().astype(np.int64)
+            v = sk.flatten().to_numpy().view(np.uint64) >> np.uint64(64 - 8 * VALUE)
+            owner = np.repeat(np.arange(len(n)), sk.value_lengths().to_numpy())
+            # A partner of a set below K * num / den is whole in its sketch too.
+            least = np.where(n * den < K * num, -(-n * num // den), exact)
+            yield pa.RecordBatch.from_arrays(packed(v & parts, (least[owner], 1), (b.column("nid").to_numpy()[owner], wide), (v, VALUE)), ["part", "least", "nid", "v"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for least, nid, v in unpacked(batches, 1, wide, VALUE):
+            _, at, df = np.unique(v, return_inverse=True, return_counts=True)
+            df = df[at]
+            several = df > 1
+            # Eighths of powers of two, which one byte holds: any order will do that is the same for all sets.
+            often = (8 * np.log2(df[several])).astype(np.uint64)
+            nid = nid[several]
+            yield pa.RecordBatch.from_arrays(packed(mix(nid) & parts, (least[several], 1), (nid, wide), (v[several], VALUE), (often, 1)), ["part", "least", "nid", "v", "often"])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for least, nid, v, often in unpacked(batches, 1, wide, VALUE, 1):
+            order = np.lexsort((v, often, nid))
+            least, nid, v = least[order].astype(np.int64), nid[order], v[order]
+            first = np.searchsorted(nid, nid, "left")
+            # Values of one set alone are the rarest and fill the prefix first: K - least + MEET less their number.
+            room = np.searchsorted(nid, nid, "right") - first - least + np.minimum(MEET, least)
+            kept = np.arange(len(nid)) - first < room
+            need = np.minimum(MEET, -(-least * num // den))[kept].astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(v[kept].view(np.int64)), pa.array(nid[kept].view(np.int64)), pa.array(need)], ["v", "nid", "need"])
+
+    counted = able.mapInArrow(dealt, _PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(shared, f"{_PACKED}, often binary")
+    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(rarest, "v long, nid long, need byte")
 
 
 def meetings_needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -195,7 +282,7 @@ class _Comparison:
         sketches = only(self.reps, found.select("nid").distinct(), "nid").select("nid", F.transform("sk", lambda v: F.shiftright(v, 32).cast("int")).alias("els"))
         dealt = cells.deal(found, sketches, F.least(F.col("n"), F.lit(K)))
         left = materialise(dealt.mapInArrow(cells.filtered(lambda s: cells.overlap_rows(s, K, least, num, den)), _MEMBER).distinct())
-        wanted = only(self.reps.select("nid", "id"), left.select("nid").distinct(), "nid").select("nid", F.col("id").alias("doc_id"))
+        wanted = only(self.reps.select("nid", "hid", "id"), left.select("nid").distinct(), "nid").select("nid", "hid", F.col("id").alias("doc_id"))
         sets = materialise(whole_sets(self.docs, materialise(wanted), self.width, self.lower))
         return cells.deal(left, sets, F.col("n")).mapInArrow(cells.links(num, den), "a long, b long").distinct()
 
@@ -210,8 +297,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def _groups(docs: DataFrame, width: int, num: int, den: int, lower: bool) -> DataFrame:
-    rows = materialise(sketch_documents(docs, width, lower))
-    reps = materialise(rows.filter("n > 0").groupBy("nid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sk").alias("sk")))
+    with scratch():  # the sketches of all documents end with it
+        sketched = materialise(sketch_documents(docs, width, lower))
+        reps = named_sets(sketched)
+        rows = materialise(sketched.drop("sk"), keep=True)
     lists = materialise(prefix_lists(reps, num, den))
     compare = _Comparison(docs, reps, width, num, den, lower)
     members = materialise(centred(lists).filter("c != nid").groupBy("c", "nid").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need")).filter("times >= need").select("c", "nid"))
@@ -223,10 +312,10 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, lower: bool) -> Dat
     found = outsiders(compare.sharing(found, left).select("c", "nid", "label"))
     edges = edges.unionByName(compare.links(compare.sized(found)))
     labels = components(edges)
-    named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "id", F.coalesce("label", "nid").alias("c"))
+    named = reps.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("hid", "id", F.coalesce("label", "nid").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
-    of = named.join(least, "c").select("nid", "component_id")
-    out = rows.drop("sk").join(of, "nid", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    of = named.join(least, "c").select("hid", "component_id")
+    out = rows.join(of, "hid", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
