@@ -1,11 +1,11 @@
-"""What written tables leave behind, and lists of packed memberships."""
+"""What written tables and joins leave behind, and lists of packed memberships."""
 
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomspark.llm import near_dedup
+from loomspark.llm import near_dedup, suffix_dedup
 from loomspark.llm.common import materialise
 
 
@@ -24,6 +24,16 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert written.count() == 9
 
 
+def test_spans_are_not_filtered_by_what_finds_their_texts(spark):
+    docs = materialise(spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id long, text string"))
+    rows = suffix_dedup.keyed(docs).drop("row")
+    spans = materialise(rows.select("loom_rid", F.lit(0).alias("s"), F.lit(1).alias("e")))
+    some, none = suffix_dedup.with_spans(rows, spans)
+    assert (some.count(), none.count()) == (20, 0)
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+
+
 def test_lists_bring_together_what_shares_enough(spark):
     draw = np.random.default_rng(3)
     low = lambda n: draw.integers(0, 1 << 60, n)
